@@ -57,7 +57,8 @@ def chrome_pattern(names: tuple[str, ...]) -> str:
 
 def decode_entities(text: Column) -> Column:
     """Character references to characters, each decoded once; unknown ones stay as they are."""
-    names = F.create_map(*[F.lit(v) for pair in entity_table().items() for v in pair])
+    listed = ", ".join(f"'{name}', decode(unhex('{ord(char):08X}'), 'UTF-32')" for name, char in entity_table().items())
+    names = F.expr(f"map({listed})")
 
     def named(part: Column) -> Column:
         return F.struct(part.alias("part"), F.regexp_extract(part, ENTITY, 1).alias("name"))

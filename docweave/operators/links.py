@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.config import CrawlSettings
 from docweave.functions import html as H
 from docweave.functions import urls as U
+from docweave.functions.binding import let
 from docweave.functions.filters import path_match, same_section
 from docweave.operators.extract import quiet_pages
 from docweave.operators.topk import top_k
@@ -53,12 +54,21 @@ def page_links(pages: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> Data
             item["dst_url"], crawl.allowed_domains, crawl.domain_suffix_match
         )
 
-    def first_seen(target: Column) -> Column:
-        at = F.element_at("_links", F.array_position("_targets", target).cast("int"))
-        priority = F.array_contains("_priority", target)
-        return F.struct(
-            (~priority).alias("_later"), at["pos"].alias("pos"), target.alias("dst_url"), priority.alias("is_priority")
-        )
+    def ordered(page: Column) -> Column:
+        targets = F.transform(page["links"], lambda x: x["dst_url"])
+        first = F.filter(page["links"], lambda x: x["is_priority"])
+        lists = F.struct(targets.alias("targets"), F.transform(first, lambda x: x["dst_url"]).alias("priority"))
+        return let(lists, lambda both: F.array_sort(F.transform(F.array_distinct(both["targets"]), first_seen(page, both))))
+
+    def first_seen(page: Column, both: Column):
+        def row(target: Column) -> Column:
+            at = F.element_at(page["links"], F.array_position(both["targets"], target).cast("int"))
+            priority = F.array_contains(both["priority"], target)
+            return F.struct(
+                (~priority).alias("_later"), at["pos"].alias("pos"), target.alias("dst_url"), priority.alias("is_priority")
+            )
+
+        return row
 
     return (
         quiet_pages(pages.where(F.col("html").isNotNull() & (F.col("html") != "")))
@@ -69,9 +79,7 @@ def page_links(pages: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> Data
             H.anchors(F.col("_quiet")).alias("_anchors"),
         )
         .withColumn("_links", F.filter(F.transform("_anchors", link), allowed))
-        .withColumn("_targets", F.transform("_links", lambda x: x["dst_url"]))
-        .withColumn("_priority", F.transform(F.filter("_links", lambda x: x["is_priority"]), lambda x: x["dst_url"]))
-        .withColumn("_ordered", F.array_sort(F.transform(F.array_distinct("_targets"), first_seen)))
+        .withColumn("_ordered", let(F.struct(F.col("_links").alias("links")), ordered))
         .select(
             "src_url",
             "page_id",

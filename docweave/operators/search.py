@@ -8,13 +8,14 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.config import Settings
 from docweave.functions import text as X
 from docweave.functions import vectors as V
+from docweave.functions.binding import let
 from docweave.functions.filters import id_predicate, metadata_predicate
 from docweave.operators.topk import top_k
 from docweave.session import cut_lineage
@@ -26,9 +27,11 @@ BROADCAST_ROWS = 500_000
 BLOCK_ROWS = 4096
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    flat = np.asarray(lists.flatten()).astype(np.float64)
-    return flat.reshape(len(lists), -1)
+def _matrix(ids: pa.Array, lists: pa.Array, dimension: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of the rows whose vector has the right length."""
+    usable = pc.equal(pc.list_value_length(lists), dimension).fill_null(False)
+    ids, lists = ids.filter(usable), lists.filter(usable)
+    return ids, np.asarray(lists.flatten()).astype(np.float64).reshape(len(lists), dimension)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -58,6 +61,8 @@ class _Best:
         self.kept: pa.Table | None = None
 
     def add(self, ids: pa.Array, corpus: np.ndarray) -> None:
+        if not len(self.questions):
+            return
         step = max(1, CELLS_PER_STEP // max(1, len(self.questions)))
         for at in range(0, len(ids), step):
             self._add(ids.slice(at, step), corpus[at : at + step])
@@ -88,45 +93,51 @@ class _Best:
         self.kept = table.filter(pa.array(place < self.k))
 
 
-def _valid(df: DataFrame, id_col: str, vector_col: str, dimension: int, name: str) -> DataFrame:
-    return df.where(V.is_valid(F.col(vector_col), dimension)).select(
-        F.col(id_col).alias(name), F.col(vector_col).alias("_vector")
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table[name].combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+
+
+def _hits(ask_ids: pa.Array, best: _Best) -> pa.Table:
+    kept = best.kept.combine_chunks()
+    return pa.table(
+        {
+            "ask_id": ask_ids.take(_column(kept, "ask")),
+            "hit_id": _column(kept, "id"),
+            "score": _column(kept, "score"),
+        }
     )
 
 
-def _scan(corpus: DataFrame, asks: pa.Table, k: int, metric: str, schema: T.StructType) -> DataFrame:
+def _scan(corpus: DataFrame, asks: pa.Table, k: int, metric: str, dimension: int, schema: T.StructType) -> DataFrame:
     """One pass over the corpus against a small broadcast question matrix."""
-    shared = corpus.sparkSession.sparkContext.broadcast((asks["ask_id"].combine_chunks(), _matrix(asks["_vector"].combine_chunks())))
+    shared = corpus.sparkSession.sparkContext.broadcast(
+        _matrix(_column(asks, "ask_id"), _column(asks, "_vector"), dimension)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask_ids, questions = shared.value
         best = _Best(questions, k, metric)
         for batch in batches:
-            if batch.num_rows:
-                best.add(batch.column("hit_id"), _matrix(batch.column("_vector")))
+            best.add(*_matrix(batch.column("hit_id"), batch.column("_vector"), dimension))
         if best.kept is not None:
-            out = pa.table(
-                {
-                    "ask_id": ask_ids.take(best.kept["ask"].combine_chunks()),
-                    "hit_id": best.kept["id"],
-                    "score": best.kept["score"],
-                }
-            )
-            yield from out.combine_chunks().to_batches()
+            yield from _hits(ask_ids, best).to_batches()
 
     return corpus.mapInArrow(run, schema)
 
 
-def _grid(corpus: DataFrame, asks: DataFrame, n_asks: int, k: int, metric: str, schema: T.StructType) -> DataFrame:
+def _grid(
+    corpus: DataFrame, asks: DataFrame, n_asks: int, k: int, metric: str, dimension: int, schema: T.StructType
+) -> DataFrame:
     """Block by block for question tables of any size: no side is broadcast or collected.
 
     Questions and corpus are cut into hash blocks of bounded size; each task scores one pair
     of blocks and gives back only its best rows.
     """
     ask_blocks = max(1, -(-n_asks // BLOCK_ROWS))
-    hit_blocks = max(1, -(-corpus.count() // BLOCK_ROWS))
+    hit_blocks = max(1, -(-corpus.select(F.lit(1)).count() // BLOCK_ROWS))
 
-    def block(column: str, n: int):
+    def block(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
     left = corpus.withColumn("_hb", block("hit_id", hit_blocks)).withColumn(
@@ -137,26 +148,19 @@ def _grid(corpus: DataFrame, asks: DataFrame, n_asks: int, k: int, metric: str,
     )
 
     def run(hits: pa.Table, questions: pa.Table) -> pa.Table:
-        if not hits.num_rows or not questions.num_rows:
-            return schema_table(hits, questions)
-        best = _Best(_matrix(questions["_vector"].combine_chunks()), k, metric)
-        best.add(hits["hit_id"].combine_chunks(), _matrix(hits["_vector"].combine_chunks()))
+        ask_ids, matrix = _matrix(_column(questions, "ask_id"), _column(questions, "_vector"), dimension)
+        best = _Best(matrix, k, metric)
+        best.add(*_matrix(_column(hits, "hit_id"), _column(hits, "_vector"), dimension))
+        if best.kept is not None:
+            return _hits(ask_ids, best)
         return pa.table(
             {
-                "ask_id": questions["ask_id"].combine_chunks().take(best.kept["ask"].combine_chunks()),
-                "hit_id": best.kept["id"],
-                "score": best.kept["score"],
+                "ask_id": ask_ids.slice(0, 0),
+                "hit_id": _column(hits, "hit_id").slice(0, 0),
+                "score": pa.array([], pa.float64()),
             }
         )
 
-    def schema_table(hits: pa.Table, questions: pa.Table) -> pa.Table:
-        empty = {
-            "ask_id": pa.array([], questions.schema.field("ask_id").type),
-            "hit_id": pa.array([], hits.schema.field("hit_id").type),
-            "score": pa.array([], pa.float64()),
-        }
-        return pa.table(empty)
-
     return left.groupBy("_ab", "_hb").cogroup(right.groupBy("_ab", "_hb")).applyInArrow(run, schema)
 
 
@@ -181,17 +185,18 @@ def nearest(
     ``broadcast_bytes`` (checked before anything is shipped) meet the corpus in one pass
     without a shuffle of the corpus; larger ones go block by block.
     """
-    asks = _valid(questions, question_id, vector, dimension, "ask_id")
-    hits = _valid(corpus, corpus_id, vector, dimension, "hit_id")
+    # wrong vectors are left out inside the scan: a filter here would be pushed below the
+    # embedding of an unsaved corpus and compute it twice
+    asks = questions.select(F.col(question_id).alias("ask_id"), F.col(vector).alias("_vector"))
+    hits = corpus.select(F.col(corpus_id).alias("hit_id"), F.col(vector).alias("_vector"))
     schema = T.StructType(
         [asks.schema["ask_id"], hits.schema["hit_id"], T.StructField("score", T.DoubleType())]
     )
     bound = max(1, broadcast_bytes // (8 * dimension))
-    small = asks.limit(bound + 1).toArrow()
-    if small.num_rows <= bound:
-        best = _scan(hits, small, k, metric, schema)
+    if questions.select(F.lit(1)).limit(bound + 1).count() <= bound:
+        best = _scan(hits, asks.toArrow(), k, metric, dimension, schema)
     else:
-        best = _grid(hits, asks, asks.count(), k, metric, schema)
+        best = _grid(hits, asks, questions.count(), k, metric, dimension, schema)
     ranked = top_k(best, ["ask_id"], [F.col("score").desc(), F.col("hit_id")], k, rank="vector_rank")
     return ranked.select(
         F.col("ask_id").alias(question_id), F.col("hit_id").alias(corpus_id), "score", "vector_rank"
@@ -265,18 +270,29 @@ def rerank(
     scored = (
         candidates.join(asked, "question_id", "left")
         .withColumn("_tokens", X.search_tokens(F.col("content")))
+        .withColumn("_names", F.transform("_terms", lambda t: t["term"]))
         .withColumn("_stats", stats.scalar())
     )
+    # the few tokens that are asked for: counting a term looks at those only
+    chunk = F.struct(
+        F.filter("_tokens", lambda t: F.array_contains("_names", t)).alias("shared"),
+        (F.size("_tokens") / F.col("_stats")["avg_len"]).alias("length"),
+        F.col("_stats")["n"].alias("n"),
+    )
+
+    def relevance(c: Column) -> Column:
+        def gain(total: Column, item: Column) -> Column:
+            df = item["df"]
+            idf = F.log(1 + (c["n"] - df + 0.5) / (df + 0.5))
+            tf = F.size(F.filter(c["shared"], lambda t: t == item["term"]))
+            return total + let(tf, lambda n: idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c["length"])))
 
-    def gain(total, item):
-        n, df = F.col("_stats")["n"], item["df"]
-        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        tf = F.size(F.filter("_tokens", lambda t: t == item["term"]))
-        length = F.size("_tokens") / F.col("_stats")["avg_len"]
-        return total + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length))
+        return F.aggregate("_terms", F.lit(0.0), gain)
 
-    bm25 = F.round(F.coalesce(F.aggregate("_terms", F.lit(0.0), gain), F.lit(0.0)), SCORE_DIGITS)
-    return _reordered(scored.withColumn("_pair_score", bm25), cap).drop("_terms", "_tokens", "_stats")
+    bm25 = F.round(F.coalesce(let(chunk, relevance), F.lit(0.0)), SCORE_DIGITS)
+    return _reordered(scored.withColumn("_pair_score", bm25), cap).drop(
+        "_terms", "_tokens", "_names", "_stats"
+    )
 
 
 def rerank_with(candidates: DataFrame, questions: DataFrame, scorer, cap: int) -> DataFrame:

@@ -40,42 +40,46 @@ class CorpusStore:
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
 
-    def commits(self) -> DataFrame:
+    def commits(self) -> list[tuple[int, str]]:
+        """``(batch, kind)`` of every commit in order: one small row per ingest."""
         try:
-            return self.spark.read.schema(COMMITS).json(self._path("commits")).dropDuplicates(["batch", "kind"])
+            rows = self.spark.read.schema(COMMITS).json(self._path("commits")).select("batch", "kind").collect()
         except AnalysisException:
-            return self.spark.createDataFrame([], COMMITS)
+            return []
+        return sorted({(row["batch"], row["kind"]) for row in rows})
 
     def last_batch(self) -> int:
         """The greatest committed batch id; -1 for an empty store."""
-        return self.commits().agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("b")).first()["b"]
+        return max((batch for batch, _ in self.commits()), default=-1)
 
     def exists(self) -> bool:
-        return self.last_batch() >= 0
+        return bool(self.commits())
 
     def _visible(self) -> list[int]:
-        """Committed batch ids from the last fresh start on: bounded by the compactions."""
-        rows = self.commits().orderBy("batch").collect()
-        fresh = max((r["batch"] for r in rows if r["kind"] == "full"), default=-1)
-        return [r["batch"] for r in rows if r["batch"] >= fresh]
+        """Committed batch ids from the last fresh start on: as many as ingests since then."""
+        commits = self.commits()
+        fresh = max((batch for batch, kind in commits if kind == "full"), default=-1)
+        return sorted({batch for batch, _ in commits if batch >= fresh})
 
-    def _segments(self, table: str, schema: T.StructType) -> DataFrame:
+    def _segments(self, table: str, schema: T.StructType, batches: list[int]) -> DataFrame:
         with_batch = T.StructType([*schema.fields, _BATCH])
-        paths = [self._path(table, f"batch={b}") for b in self._visible()]
-        if not paths:
+        if not batches:
             return self.spark.createDataFrame([], with_batch)
+        paths = [self._path(table, f"batch={b}") for b in batches]
         return self.spark.read.option("basePath", self._path(table)).schema(with_batch).parquet(*paths)
 
-    def _current(self, rows: DataFrame, key: str) -> DataFrame:
+    def _current(self, table: str, schema: T.StructType, key: str) -> DataFrame:
         """Rows of each document's latest segment.
 
         Only superseded (document, segment) pairs are looked for. They are usually few and
         then broadcast, which leaves the corpus unshuffled.
         """
-        if len(self._visible()) <= 1:
+        batches = self._visible()
+        rows = self._segments(table, schema, batches)
+        if len(batches) <= 1:
             return rows.drop("batch")
         stale = (
-            self._segments("documents", DOCUMENTS)
+            self._segments("documents", DOCUMENTS, batches)
             .groupBy(F.col("doc_id").alias(key))
             .agg(F.array_sort(F.collect_set("batch")).alias("_batches"))
             .where(F.size("_batches") > 1)
@@ -85,10 +89,10 @@ class CorpusStore:
         return rows.join(F.broadcast(stale) if few else stale, [key, "batch"], "left_anti").drop("batch")
 
     def documents(self) -> DataFrame:
-        return self._current(self._segments("documents", DOCUMENTS), "doc_id")
+        return self._current("documents", DOCUMENTS, "doc_id")
 
     def chunks(self) -> DataFrame:
-        return self._current(self._segments("chunks", CHUNKS), "document_id")
+        return self._current("chunks", CHUNKS, "document_id")
 
     def write(
         self,

@@ -412,7 +412,7 @@ reached AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)"""
 
 STATUS = "CASE WHEN url IN (SELECT url FROM pages) THEN 'success' ELSE 'failed' END AS status"
 ORACLES["crawl_bfs"] = f"""WITH RECURSIVE {EDGES}, {SEEDS}, {SEED_TABLE}, {reach("edges", "start_urls", DOMAINS, 5)}
-SELECT url, depth, {STATUS} FROM reached QUALIFY row_number() OVER (ORDER BY depth, url) <= 150"""
+SELECT url, depth, {STATUS} FROM reached QUALIFY row_number() OVER (ORDER BY depth, url) <= 80"""
 ORACLES["crawl_real_links"] = f"""WITH RECURSIVE {LINKS}, {distinct_links(())}, capped AS (SELECT src_url, dst_url FROM first_links
   QUALIFY row_number() OVER (PARTITION BY src_url ORDER BY is_priority DESC, pos) <= 15), start_urls AS (SELECT url FROM pages WHERE {crawlable("url", ())}),
 {reach("capped", "start_urls", (), 2)} SELECT url, depth, {STATUS} FROM reached"""

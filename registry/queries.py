@@ -42,7 +42,7 @@ RULES = Settings().override(
             "allowed_domains": ["example.com", "example.org"],
             "primary_path_filters": ["/en/", "/fr/"],
             "host_aliases": [("http://www.", "https://www."), ("http://blog.", "https://blog.")],
-            "max_pages": 150,
+            "max_pages": 80,
             "max_depth": 5,
         },
         "relevance": {
@@ -97,6 +97,13 @@ def corpus(spark: SparkSession, d: str, settings: Settings = PLAIN) -> tuple[Dat
     return documents, embedded_chunks(documents, settings)
 
 
+def stored_corpus(spark: SparkSession, d: str, settings: Settings = PLAIN) -> CorpusStore:
+    """The corpus written once and read back, as a search that passes over it several times needs."""
+    store = CorpusStore(spark, fresh_path(spark, "store"), settings)
+    store.write(relevant_documents(pages_of(spark, d), settings), lambda stored: embedded_chunks(stored, settings))
+    return store
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
@@ -152,9 +159,7 @@ def crawl_report(spark, d):
 @query("index_roundtrip")
 def index_roundtrip(spark, d):
     """A corpus saved as a store and loaded again."""
-    documents, _ = corpus(spark, d)
-    store = CorpusStore(spark, fresh_path(spark, "store"))
-    store.write(documents, lambda stored: embedded_chunks(stored))
+    store = stored_corpus(spark, d)
     store.save_figures()
     return store.chunks().select("chunk_id", "document_id", "start_char", "end_char", F.size("embedding").alias("dimension"))
 
@@ -162,9 +167,7 @@ def index_roundtrip(spark, d):
 @query("export_json")
 def export_json(spark, d):
     """Documents exported as JSON and read back."""
-    documents, _ = corpus(spark, d)
-    store = CorpusStore(spark, fresh_path(spark, "store"))
-    store.write(documents, lambda stored: embedded_chunks(stored))
+    store = stored_corpus(spark, d)
     path = fresh_path(spark, "export")
     store.export(path)
     return spark.read.schema("doc_id string, url string, title string, content string").json(f"{path}/documents")
@@ -474,7 +477,8 @@ def filtered_knn(spark, d):
 @query("filtered_retrieve")
 def filtered_retrieve(spark, d):
     """Retrieval among chunks of long pages with a document filter."""
-    documents, chunks = corpus(spark, d)
+    store = stored_corpus(spark, d)
+    documents, chunks = store.documents(), store.chunks()
     found = S.retrieve_filtered(user_questions(spark, d), chunks, documents, filters={"content_length": {"gte": 4000}})
     return found.select("question_id", "rank", "chunk_id", "score")
 
@@ -482,7 +486,8 @@ def filtered_retrieve(spark, d):
 @query("post_filtered_retrieve")
 def post_filtered_retrieve(spark, d):
     """The search-deeper-then-filter form."""
-    documents, chunks = corpus(spark, d)
+    store = stored_corpus(spark, d)
+    documents, chunks = store.documents(), store.chunks()
     found = S.retrieve_filtered(
         user_questions(spark, d), chunks, documents, filters={"content_length": {"gte": 4000}}, top=3, post_filter=True
     )
@@ -540,7 +545,8 @@ def distinct_links(spark, d):
 
 @query("rerank_bm25")
 def rerank_bm25(spark, d):
-    documents, chunks = corpus(spark, d)
+    store = stored_corpus(spark, d)
+    documents, chunks = store.documents(), store.chunks()
     asked = S.embed_questions(user_questions(spark, d))
     found = S.nearest(asked, chunks, 15).join(chunks.select("chunk_id", "content"), "chunk_id")
     return S.rerank(found, asked, chunks, 5).select("question_id", "rank", "chunk_id", "score", "vector_rank")
@@ -548,14 +554,16 @@ def rerank_bm25(spark, d):
 
 @query("retrieve")
 def retrieve(spark, d):
-    documents, chunks = corpus(spark, d)
+    store = stored_corpus(spark, d)
+    documents, chunks = store.documents(), store.chunks()
     found = S.retrieve(user_questions(spark, d), chunks, documents)
     return found.select("question_id", "rank", "chunk_id", "score", "doc_title", "doc_url")
 
 
 @query("search_documents")
 def search_documents(spark, d):
-    documents, chunks = corpus(spark, d)
+    store = stored_corpus(spark, d)
+    documents, chunks = store.documents(), store.chunks()
     found = S.retrieve(user_questions(spark, d), chunks, documents, top=10)
     return S.documents_by_rank(found, documents).select("question_id", "position", "doc_id", "url", "first_rank")
 
@@ -703,7 +711,8 @@ def source_snippets(spark, d):
 @query("answer_questions")
 def answer_questions(spark, d):
     """Pages to answers: extraction, chunks, vectors, search, rerank, context, answer."""
-    documents, chunks = corpus(spark, d)
+    store = stored_corpus(spark, d)
+    documents, chunks = store.documents(), store.chunks()
     asked = user_questions(spark, d)
     blank = table(spark, d, "conversations").select(
         F.concat(F.lit("blank-"), "conv_id", F.lit("-"), "turn").alias("question_id"), F.lit("  ").alias("question")
@@ -719,7 +728,8 @@ def answer_questions(spark, d):
 @query("batch_answers")
 def batch_answers(spark, d):
     """Answers of the whole question table with an error column, in input order."""
-    documents, chunks = corpus(spark, d)
+    store = stored_corpus(spark, d)
+    documents, chunks = store.documents(), store.chunks()
     answers = A.answer_questions(user_questions(spark, d), chunks, documents, FEW_SOURCES)
     return answers.select(
         "question_id", "answer", "documents_retrieved", "documents_used", F.lit(None).cast("string").alias("error")
@@ -818,10 +828,8 @@ def latest_by_text(spark, d):
 @query("rebuild_index")
 def rebuild_index(spark, d):
     """A store whose vectors are made again from the text under another dimension."""
-    documents, _ = corpus(spark, d)
-    smaller = PLAIN.override({"embed": {"dimension": VECTOR_DIM}})
-    store = CorpusStore(spark, fresh_path(spark, "store"), smaller)
-    store.write(documents, lambda stored: embedded_chunks(stored))
+    written = stored_corpus(spark, d)
+    store = CorpusStore(spark, written.root, PLAIN.override({"embed": {"dimension": VECTOR_DIM}}))
     store.rebuild(V.token_hash)
     return entries(store.chunks(), "chunk_id", "embedding")
 
