@@ -14,22 +14,26 @@ from docweave.operators.topk import first_rows
 from docweave.session import cut_lineage
 
 
-def link_graph(pages: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> DataFrame:
-    """``(src_url, page_id, targets)`` with one row per URL: the latest copy of a page wins.
+def link_table(pages: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> DataFrame:
+    """``(src_url, page_id, links)`` with one row per URL: the latest copy of a page wins.
 
-    The aggregation combines copies before the shuffle, so a URL that fills much of the
-    table does not land in one task, and it leaves the graph partitioned by URL.
+    Materialised, so that HTML is parsed once however often the links are joined. The
+    aggregation combines copies before the shuffle, so a URL that fills much of the table does
+    not land in one task, and it leaves the table partitioned by URL.
     """
-    capped = page_links(pages, crawl).select(
-        "src_url",
-        "page_id",
-        F.transform(F.slice("links", 1, crawl.max_links_per_page), lambda x: x["dst_url"]).alias("targets"),
-    )
-    return capped.groupBy("src_url").agg(
-        F.max("page_id").alias("page_id"), F.max_by("targets", "page_id").alias("targets")
+    return cut_lineage(
+        page_links(pages, crawl)
+        .groupBy("src_url")
+        .agg(F.max("page_id").alias("page_id"), F.max_by("links", "page_id").alias("links"))
     )
 
 
+def link_graph(links: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> DataFrame:
+    """``(src_url, page_id, targets)``: the links of each page that are followed."""
+    followed = F.slice("links", 1, crawl.max_links_per_page)
+    return links.select("src_url", "page_id", F.transform(followed, lambda x: x["dst_url"]).alias("targets"))
+
+
 def seed_table(urls: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> DataFrame:
     """Distinct crawlable seeds after host aliases."""
     return (
@@ -56,10 +60,8 @@ def traverse(graph: DataFrame, seeds: DataFrame, crawl: CrawlSettings = CrawlSet
 
     Depth is the least number of links from a seed. The page budget is exact and taken in
     (depth, url) order. A URL without a page is a failed attempt and is not expanded. Each
-    round ends in a reliable checkpoint; the graph is materialised once, narrow, so HTML is
-    not parsed again per round.
+    round ends in a reliable checkpoint, and the graph should be a materialised one.
     """
-    graph = cut_lineage(graph)
     left = crawl.max_pages
     levels: list[DataFrame] = []
     frontier = cut_lineage(seed_table(seeds, crawl))

@@ -12,6 +12,7 @@ from docweave.functions.binding import let
 from docweave.functions.filters import path_match, same_section
 from docweave.operators.extract import quiet_pages
 from docweave.operators.topk import top_k
+from docweave.session import bounded
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def discover(edges: DataFrame, starts: DataFrame, crawl: CrawlSettings = CrawlSe
     """
     filters = crawl.primary_path_filters
     hop = edges.where(path_match(F.col("dst_url"), filters)).join(
-        starts.select(F.col("url").alias("src_url")).distinct(), "src_url", "left_semi"
+        bounded(starts.select(F.col("url").alias("src_url")).distinct()), "src_url", "left_semi"
     )
     primaries = hop.select(F.col("src_url").alias("start_url"), F.col("dst_url").alias("url"), "rank")
     followed = top_k(primaries, ["start_url"], [F.col("rank")], crawl.max_primary_pages, rank="_n")

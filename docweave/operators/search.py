@@ -18,13 +18,14 @@ from docweave.functions import vectors as V
 from docweave.functions.binding import let
 from docweave.functions.filters import id_predicate, metadata_predicate
 from docweave.operators.topk import top_k
-from docweave.session import cut_lineage
+from docweave.session import bounded, cut_lineage, estimated_bytes
 
 SCORE_DIGITS = 8
 CELLS_PER_STEP = 4_000_000
 BROADCAST_BYTES = 64 << 20
-BROADCAST_ROWS = 500_000
-BLOCK_ROWS = 4096
+ASK_BLOCK_ROWS = 16_384
+HIT_BLOCK_ROWS = 32_768
+WIDE_CORPUS_BYTES = 1 << 40
 
 
 def _matrix(ids: pa.Array, lists: pa.Array, dimension: int) -> tuple[pa.Array, np.ndarray]:
@@ -134,8 +135,8 @@ def _grid(
     Questions and corpus are cut into hash blocks of bounded size; each task scores one pair
     of blocks and gives back only its best rows.
     """
-    ask_blocks = max(1, -(-n_asks // BLOCK_ROWS))
-    hit_blocks = max(1, -(-corpus.select(F.lit(1)).count() // BLOCK_ROWS))
+    ask_blocks = max(1, -(-n_asks // ASK_BLOCK_ROWS))
+    hit_blocks = max(1, -(-corpus.select(F.lit(1)).count() // HIT_BLOCK_ROWS))
 
     def block(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
@@ -197,7 +198,9 @@ def nearest(
         best = _scan(hits, asks.toArrow(), k, metric, dimension, schema)
     else:
         best = _grid(hits, asks, questions.count(), k, metric, dimension, schema)
-    ranked = top_k(best, ["ask_id"], [F.col("score").desc(), F.col("hit_id")], k, rank="vector_rank")
+    # every scan task sends k rows per question: over very many tasks these merge in two rounds
+    salt_on = "hit_id" if estimated_bytes(hits) > WIDE_CORPUS_BYTES else None
+    ranked = top_k(best, ["ask_id"], [F.col("score").desc(), F.col("hit_id")], k, "vector_rank", salt_on)
     return ranked.select(
         F.col("ask_id").alias(question_id), F.col("hit_id").alias(corpus_id), "score", "vector_rank"
     )
@@ -216,8 +219,7 @@ def similar(
 
     Ids without a row or a vector have no neighbours.
     """
-    # both sides are unique by id
-    asks = corpus.join(references.select(corpus_id).distinct(), corpus_id, "left_semi").select(
+    asks = corpus.join(bounded(references.select(corpus_id).distinct()), corpus_id, "left_semi").select(
         F.col(corpus_id).alias("reference_id"), vector
     )
     found = nearest(asks, corpus, k + 1, metric, dimension, "reference_id", corpus_id, vector)
@@ -260,9 +262,18 @@ def rerank(
     of rows per question; ``questions(question_id, question)``. A stand-in for a trained
     pair scorer (see :func:`rerank_with`). A single candidate keeps its vector score.
     """
+    asked_terms = questions.select(
+        "question_id", F.explode(F.array_distinct(X.search_tokens(F.col("question")))).alias("term")
+    )
+    # Counts of the terms asked for, one row each. A word that most questions hold would make
+    # the join below lopsided, so the counts are broadcast as long as they are few.
+    counts = cut_lineage(
+        (terms if terms is not None else term_statistics(chunks)).join(
+            asked_terms.select("term").distinct(), "term", "left_semi"
+        )
+    )
     asked = (
-        questions.select("question_id", F.explode(F.array_distinct(X.search_tokens(F.col("question")))).alias("term"))
-        .join(terms if terms is not None else term_statistics(chunks), "term")
+        asked_terms.join(bounded(counts), "term")
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("_terms"))
     )
@@ -344,7 +355,7 @@ def retrieve(
     ``chunks`` carries ``embedding``; text and metadata are joined back by id after the
     vector search, so the scan stays narrow; while the hits are few they are broadcast and the
     corpus is not shuffled. Returns ``(question_id, rank, chunk_id, score,
-    vector_rank, document_id, content, document_title, document_url, doc_title, doc_url)``.
+    vector_rank, document_id, content, document_title, document_url, doc_title, doc_url, doc_description)``.
     """
     cfg = settings.search
     wanted = cfg.top_k if top is None else top
@@ -353,9 +364,9 @@ def retrieve(
         questions = embed_questions(questions, settings, embed)
     # a few rows per question, needed twice below: materialised so that the scan runs once
     found = cut_lineage(nearest(questions, chunks, pool, settings.embed.metric, settings.embed.dimension))
-    few = found.count() <= BROADCAST_ROWS
+    hits = bounded(found)
     details = chunks.select("chunk_id", "document_id", "content", "document_title", "document_url")
-    candidates = details.join(F.broadcast(found) if few else found, "chunk_id")
+    candidates = details.join(hits, "chunk_id")
     if cfg.rerank:
         cap = cfg.rerank_top_k if cfg.strict_rerank_cap else max(cfg.rerank_top_k, wanted)
         if scorer is not None:
@@ -366,18 +377,18 @@ def retrieve(
     else:
         ranked = candidates.withColumn("rank", F.col("vector_rank"))
     cut = ranked.where(F.col("rank") <= wanted)
+    described = [("title", "doc_title"), ("url", "doc_url"), ("short_description", "doc_description")]
     if documents is None:
-        attached = cut.withColumn("doc_title", F.lit(None).cast("string")).withColumn(
-            "doc_url", F.lit(None).cast("string")
-        )
+        attached = cut.select("*", *(F.lit(None).cast("string").alias(name) for _, name in described))
     else:
-        ids = chunks.select("chunk_id", "document_id").join(
-            F.broadcast(found.select("chunk_id")) if few else found.select("chunk_id"), "chunk_id", "left_semi"
-        )
-        ids = ids.select("document_id").distinct()
+        ids = chunks.select("chunk_id", "document_id").join(hits.select("chunk_id"), "chunk_id", "left_semi")
         side = documents.select(
-            F.col("doc_id").alias("document_id"), F.col("title").alias("doc_title"), F.col("url").alias("doc_url")
-        ).join(F.broadcast(ids) if few else ids, "document_id", "left_semi")
+            F.col("doc_id").alias("document_id"),
+            *(
+                (F.col(source) if source in documents.columns else F.lit(None).cast("string")).alias(name)
+                for source, name in described
+            ),
+        ).join(bounded(ids.select("document_id").distinct()), "document_id", "left_semi")
         # a left join keeps chunks without a document
         attached = cut.join(side, "document_id", "left")
     return attached.select(
@@ -392,6 +403,7 @@ def retrieve(
         "document_url",
         "doc_title",
         "doc_url",
+        "doc_description",
     )
 
 
@@ -408,7 +420,7 @@ def filter_corpus(
     kept = chunks
     if isinstance(document_ids, DataFrame):
         ids = document_ids.select(document_ids.columns[0]).toDF("document_id").distinct()
-        kept = kept.join(ids, "document_id", "left_semi")
+        kept = kept.join(bounded(ids), "document_id", "left_semi")
     else:
         kept = kept.where(id_predicate(F.col("document_id"), document_ids))
     if filters:
@@ -419,7 +431,8 @@ def filter_corpus(
             passing = documents.where(metadata_predicate(documents, on_documents)).select(
                 F.col("doc_id").alias("document_id")
             )
-            kept = kept.join(passing, "document_id", "left_semi")
+            # vectors and text are not shuffled for a selective filter
+            kept = kept.join(bounded(passing), "document_id", "left_semi")
     return kept
 
 
@@ -453,14 +466,22 @@ def retrieve_filtered(
     return renumbered if top is None else renumbered.where(F.col("rank") <= top)
 
 
-def documents_by_rank(retrieved: DataFrame, documents: DataFrame) -> DataFrame:
-    """Distinct documents per question in the order their first chunk ranks."""
-    first = retrieved.groupBy("question_id", F.col("document_id").alias("doc_id")).agg(
-        F.min("rank").alias("first_rank")
+def documents_by_rank(retrieved: DataFrame) -> DataFrame:
+    """Distinct documents per question in the order their first chunk ranks.
+
+    Chunks without a document are passed over.
+    """
+    first = (
+        retrieved.where(F.col("doc_url").isNotNull())
+        .groupBy("question_id", F.col("document_id").alias("doc_id"))
+        .agg(
+            F.min("rank").alias("first_rank"),
+            F.first("doc_url").alias("url"),
+            F.first("doc_title").alias("title"),
+            F.first("doc_description").alias("short_description"),
+        )
     )
     order = Window.partitionBy("question_id").orderBy("first_rank")
-    return (
-        first.join(documents.select("doc_id", "url", "title", "short_description"), "doc_id")
-        .withColumn("position", F.row_number().over(order))
-        .select("question_id", "position", "doc_id", "url", "title", "short_description", "first_rank")
+    return first.withColumn("position", F.row_number().over(order)).select(
+        "question_id", "position", "doc_id", "url", "title", "short_description", "first_rank"
     )

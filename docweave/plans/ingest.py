@@ -13,13 +13,13 @@ from docweave.functions import vectors as V
 from docweave.functions.filters import relevant
 from docweave.functions.text import word_count
 from docweave.operators.chunk import chunk_documents
-from docweave.operators.crawl import crawled_pages, link_graph, traverse
+from docweave.operators.crawl import crawled_pages, link_graph, link_table, traverse
 from docweave.operators.extract import build_documents
-from docweave.operators.links import discover, distinct_links, seed_union
+from docweave.operators.links import discover, seed_union
 from docweave.operators.metrics import crawl_metrics
 from docweave.operators.search import embed_chunks
 from docweave.session import cut_lineage
-from docweave.sources.pages import fetch_log
+from docweave.sources.pages import fetch_log, latest_pages
 from docweave.sources.store import CorpusStore
 
 
@@ -56,11 +56,12 @@ def embedded_chunks(documents: DataFrame, settings: Settings = Settings(), embed
 
 def crawl(pages: DataFrame, seeds: DataFrame, settings: Settings = Settings(), discovery: bool = True) -> DataFrame:
     """``(url, depth, status, page_id)`` reached from the seeds and the pages discovered from them."""
+    links = link_table(pages, settings.crawl)
     start = seeds
     if discovery:
-        edges = distinct_links(pages, settings.crawl)
+        edges = links.select("src_url", F.inline("links"))
         start = seed_union(seeds, discover(edges, seeds, settings.crawl))
-    return traverse(link_graph(pages, settings.crawl), start, settings.crawl)
+    return traverse(link_graph(links, settings.crawl), start, settings.crawl)
 
 
 def reached_log(reached: DataFrame, pages: DataFrame) -> DataFrame:
@@ -93,7 +94,8 @@ def ingest(
     """
     begin = time.monotonic()
     if seeds is None:
-        chosen, log = pages, fetch_log(pages)
+        chosen = latest_pages(pages)
+        log = fetch_log(pages)
     else:
         reached = cut_lineage(crawl(pages, seeds, settings))
         chosen, log = crawled_pages(pages, reached), reached_log(reached, pages)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import urls as U
+from docweave.operators.upsert import latest
 from docweave.schemas import PAGES
-from docweave.session import spread
+from docweave.session import bounded, spread
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -41,22 +42,29 @@ def split_seeds(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return urls.where(web), urls.where(~web)
 
 
+def latest_pages(pages: DataFrame) -> DataFrame:
+    """One row per URL, the one with the greatest ``page_id``.
+
+    Only URLs that occur more than once are aggregated, and their copies are combined before
+    the shuffle; the HTML of all other pages stays where it is.
+    """
+    repeated = pages.groupBy("url").count().where(F.col("count") > 1).select("url")
+    repeated = bounded(repeated)
+    single = pages.join(repeated, "url", "left_anti").select(*pages.columns)
+    copies = pages.join(repeated, "url", "left_semi").select(*pages.columns)
+    return single.unionByName(latest(copies, "url", "page_id"))
+
+
 def write_raw_pages(pages: DataFrame, path: str) -> None:
     """Raw HTML by id, so URLs that differ only in the query do not overwrite each other.
 
-    Hosts are a column, not folders: their number grows with the data. Files are laid out by
-    host ranges, which splits a large host over several tasks and still prunes on ``host``.
+    The host is a column, not a folder: the number of hosts grows with the data. Nothing is
+    shuffled.
     """
-    (
-        pages.select(
-            U.document_id(F.col("url")).alias("doc_id"),
-            U.host(F.col("url")).alias("host"),
-            U.file_name(F.col("url")).alias("file_name"),
-            "url",
-            "html",
-        )
-        .repartitionByRange("host", "doc_id")
-        .sortWithinPartitions("host", "doc_id")
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    pages.select(
+        U.document_id(F.col("url")).alias("doc_id"),
+        U.host(F.col("url")).alias("host"),
+        U.file_name(F.col("url")).alias("file_name"),
+        "url",
+        "html",
+    ).write.mode("overwrite").parquet(path)

@@ -21,6 +21,7 @@ from docweave.functions.vectors import normalise
 from docweave.operators.metrics import index_stats, system_stats
 from docweave.operators.search import corpus_statistics, term_statistics
 from docweave.schemas import CHUNKS, DOCUMENTS
+from docweave.session import bounded
 
 COMMITS = T.StructType(
     [
@@ -30,7 +31,6 @@ COMMITS = T.StructType(
     ]
 )
 _BATCH = T.StructField("batch", T.LongType())
-BROADCAST_ROWS = 500_000
 
 
 class CorpusStore:
@@ -85,8 +85,7 @@ class CorpusStore:
             .where(F.size("_batches") > 1)
             .select(key, F.explode(F.slice("_batches", F.lit(1), F.size("_batches") - 1)).alias("batch"))
         )
-        few = stale.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return rows.join(F.broadcast(stale) if few else stale, [key, "batch"], "left_anti").drop("batch")
+        return rows.join(bounded(stale), [key, "batch"], "left_anti").drop("batch")
 
     def documents(self) -> DataFrame:
         return self._current("documents", DOCUMENTS, "doc_id")
@@ -120,7 +119,10 @@ class CorpusStore:
         return batch
 
     def compact(self) -> int:
-        return self.write(self.documents(), self.chunks(), full=True)
+        """Folds the segments into one, sorted by id so that look-ups skip most row groups."""
+        documents = self.documents().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        order = ("document_id", "chunk_index")
+        return self.write(documents, self.chunks().repartitionByRange(*order).sortWithinPartitions(*order), full=True)
 
     def clear(self) -> int:
         """An empty store; earlier segments stay on disk until removed by hand."""

@@ -9,9 +9,9 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from docweave.config import Settings
 from docweave.functions import vectors as V
-from docweave.operators.upsert import latest
 from docweave.plans.ingest import embedded_chunks, relevant_documents
 from docweave.schemas import PAGES
+from docweave.sources.pages import latest_pages
 from docweave.sources.store import CorpusStore
 
 
@@ -43,7 +43,7 @@ def ingest_stream(
     first = _first_segment(store, f"{folder}/first_segment")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        documents = relevant_documents(latest(batch, "url", "page_id"), settings)
+        documents = relevant_documents(latest_pages(batch), settings)
         store.write(documents, lambda stored: embedded_chunks(stored, settings, embed), first + batch_id)
 
     return (

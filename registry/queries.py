@@ -27,7 +27,7 @@ from docweave.operators import search as S
 from docweave.operators import upsert as R
 from docweave.operators.topk import top_k
 from docweave.plans.ingest import embedded_chunks, relevant_documents
-from docweave.session import fresh_path, spread
+from docweave.session import cut_lineage, fresh_path, spread
 from docweave.sources import pages as SP
 from docweave.sources import questions as SQ
 from docweave.sources import runlog as SR
@@ -506,7 +506,7 @@ def frontier_step(spark, d):
 def crawl_bfs(spark, d):
     """Traversal of the stand-in links from the first page of every host, within the budget."""
     pages = table(spark, d, "pages")
-    reached = W.traverse(stand_in_graph(pages), first_pages(pages), RULES.crawl)
+    reached = W.traverse(cut_lineage(stand_in_graph(pages)), first_pages(pages), RULES.crawl)
     return reached.select("url", "depth", "status")
 
 
@@ -515,7 +515,7 @@ def crawl_real_links(spark, d):
     """Traversal of the pages' own links from all pages: targets without a page fail."""
     pages = pages_of(spark, d)
     wide = Settings().override({"crawl": {"max_pages": 1_000_000_000, "max_depth": 2}}).crawl
-    reached = W.traverse(W.link_graph(pages, wide), pages.select("url"), wide)
+    reached = W.traverse(W.link_graph(W.link_table(pages, wide), wide), pages.select("url"), wide)
     return reached.select("url", "depth", "status")
 
 
@@ -565,7 +565,7 @@ def search_documents(spark, d):
     store = stored_corpus(spark, d)
     documents, chunks = store.documents(), store.chunks()
     found = S.retrieve(user_questions(spark, d), chunks, documents, top=10)
-    return S.documents_by_rank(found, documents).select("question_id", "position", "doc_id", "url", "first_rank")
+    return S.documents_by_rank(found).select("question_id", "position", "doc_id", "url", "first_rank")
 
 
 # --- vectors ------------------------------------------------------------------------------

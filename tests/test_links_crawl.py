@@ -39,7 +39,7 @@ def pages(spark):
 def walk(pages, **options):
     cfg = CrawlSettings(**options)
     seeds = pages.sparkSession.createDataFrame([(H + "/",), (H + "/",), ("ftp://no",)], "url string")
-    rows = W.traverse(W.link_graph(pages, cfg), seeds, cfg).collect()
+    rows = W.traverse(W.link_graph(W.link_table(pages, cfg), cfg), seeds, cfg).collect()
     assert len({r["url"] for r in rows}) == len(rows)
     return {r["url"].removeprefix(H): (r["depth"], r["status"]) for r in rows}
 
@@ -72,7 +72,7 @@ def test_the_latest_copy_of_a_page_counts(spark, pages):
     newest = spark.createDataFrame([(999, H + "/a", page(("/new", "x")))], pages.schema)
     got = walk(pages.union(copies).union(newest))
     assert "/new" in got and "/old" not in got
-    reached = W.traverse(W.link_graph(pages.union(copies).union(newest)), spark.createDataFrame([(H + "/a",)], "url string"))
+    reached = W.traverse(W.link_graph(W.link_table(pages.union(copies).union(newest))), spark.createDataFrame([(H + "/a",)], "url string"))
     taken = W.crawled_pages(pages.union(copies).union(newest), reached).where(F.col("url") == H + "/a").collect()
     assert [r["page_id"] for r in taken] == [999]
 

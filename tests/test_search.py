@@ -51,7 +51,8 @@ def frames(spark, data):
 @pytest.mark.parametrize("bytes_", [64 << 20, 0])
 @pytest.mark.parametrize("k", [1, 7, 500])
 def test_nearest_is_exact(spark, data, metric, bytes_, k, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(S, "ASK_BLOCK_ROWS", 10)
+    monkeypatch.setattr(S, "HIT_BLOCK_ROWS", 40)
     monkeypatch.setattr(S, "CELLS_PER_STEP", 300)
     questions, corpus = frames(spark, data)
     found = S.nearest(questions, corpus, k, metric, DIM, broadcast_bytes=bytes_)
@@ -163,7 +164,7 @@ def test_filter_before_and_after(small):
 def test_documents_by_rank(small):
     questions, chunks, documents = small
     found = S.retrieve(questions, chunks, documents, top=4)
-    got = [r["doc_id"] for r in S.documents_by_rank(found, documents).where("question_id = 'q1'").orderBy("position").collect()]
+    got = [r["doc_id"] for r in S.documents_by_rank(found).where("question_id = 'q1'").orderBy("position").collect()]
     assert got == ["d1", "d2"]
 
 
