@@ -11,7 +11,8 @@ SPACES = r"\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 WHITESPACE = rf"[[^!-~]&&[{SPACES}]]"
 # Characters kept in a title besides white space.
 TITLE_KEPT = r"\p{L}\p{N}_\-.,!?;:()\[\]{}\"'"
-TOKEN_BREAK = r"[^\p{L}\p{M}\p{N}]+"
+# The ASCII ranges add nothing; they settle most characters in one comparison.
+TOKEN_BREAK = r"[^a-z0-9\p{L}\p{M}\p{N}]+"
 SENTENCE_BREAK = "[.!?]+"
 TOKENS_PER_WORD = 1.3
 

@@ -26,6 +26,7 @@ BROADCAST_BYTES = 64 << 20
 ASK_BLOCK_ROWS = 16_384
 HIT_BLOCK_ROWS = 32_768
 WIDE_CORPUS_BYTES = 1 << 40
+BROADCAST_TERMS = 1_000_000
 
 
 def _matrix(ids: pa.Array, lists: pa.Array, dimension: int) -> tuple[pa.Array, np.ndarray]:
@@ -248,6 +249,10 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
+def with_tokens(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("_tokens", X.search_tokens(F.col("content")))
+
+
 def rerank(
     candidates: DataFrame,
     questions: DataFrame,
@@ -277,32 +282,28 @@ def rerank(
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("_terms"))
     )
+    # short question texts go to the candidates; otherwise the candidates are shuffled
+    if asked_terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
     stats = (totals if totals is not None else corpus_statistics(chunks)).select(F.struct("n", "avg_len"))
     scored = (
-        candidates.join(asked, "question_id", "left")
-        .withColumn("_tokens", X.search_tokens(F.col("content")))
-        .withColumn("_names", F.transform("_terms", lambda t: t["term"]))
+        (candidates if "_tokens" in candidates.columns else with_tokens(candidates))
+        .join(asked, "question_id", "left")
         .withColumn("_stats", stats.scalar())
     )
-    # the few tokens that are asked for: counting a term looks at those only
-    chunk = F.struct(
-        F.filter("_tokens", lambda t: F.array_contains("_names", t)).alias("shared"),
-        (F.size("_tokens") / F.col("_stats")["avg_len"]).alias("length"),
-        F.col("_stats")["n"].alias("n"),
-    )
+    # tokens come from below the join, so the lambdas see a column and not an expression
+    present = F.filter("_terms", lambda t: F.array_contains("_tokens", t["term"]))
 
-    def relevance(c: Column) -> Column:
-        def gain(total: Column, item: Column) -> Column:
-            df = item["df"]
-            idf = F.log(1 + (c["n"] - df + 0.5) / (df + 0.5))
-            tf = F.size(F.filter(c["shared"], lambda t: t == item["term"]))
-            return total + let(tf, lambda n: idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c["length"])))
+    def gain(total: Column, item: Column) -> Column:
+        n, df = F.col("_stats")["n"], item["df"]
+        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        length = F.size("_tokens") / F.col("_stats")["avg_len"]
+        tf = F.size("_tokens") - F.size(F.array_remove("_tokens", item["term"]))
+        return total + let(tf, lambda times: idf * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * length)))
 
-        return F.aggregate("_terms", F.lit(0.0), gain)
-
-    bm25 = F.round(F.coalesce(let(chunk, relevance), F.lit(0.0)), SCORE_DIGITS)
+    bm25 = F.round(F.coalesce(F.aggregate(present, F.lit(0.0), gain), F.lit(0.0)), SCORE_DIGITS)
     return _reordered(scored.withColumn("_pair_score", bm25), cap).drop(
-        "_terms", "_tokens", "_names", "_stats"
+        "_terms", "_tokens", "_stats"
     )
 
 
@@ -365,7 +366,13 @@ def retrieve(
     # a few rows per question, needed twice below: materialised so that the scan runs once
     found = cut_lineage(nearest(questions, chunks, pool, settings.embed.metric, settings.embed.dimension))
     hits = bounded(found)
-    details = chunks.select("chunk_id", "document_id", "content", "document_title", "document_url")
+    # text is read, and split into tokens, once per chunk that is hit at all
+    wanted_ids = bounded(found.select("chunk_id").distinct())
+    details = chunks.select("chunk_id", "document_id", "content", "document_title", "document_url").join(
+        wanted_ids, "chunk_id", "left_semi"
+    )
+    if cfg.rerank and scorer is None:
+        details = with_tokens(details)
     candidates = details.join(hits, "chunk_id")
     if cfg.rerank:
         cap = cfg.rerank_top_k if cfg.strict_rerank_cap else max(cfg.rerank_top_k, wanted)
@@ -381,7 +388,7 @@ def retrieve(
     if documents is None:
         attached = cut.select("*", *(F.lit(None).cast("string").alias(name) for _, name in described))
     else:
-        ids = chunks.select("chunk_id", "document_id").join(hits.select("chunk_id"), "chunk_id", "left_semi")
+        ids = chunks.select("chunk_id", "document_id").join(wanted_ids, "chunk_id", "left_semi")
         side = documents.select(
             F.col("doc_id").alias("document_id"),
             *(
