@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.config import Settings
+from docweave.config import CrawlSettings, Settings
 from docweave.functions.text import count_terms, word_count
 from docweave.functions.vectors import is_valid, norm
 
@@ -33,8 +33,17 @@ def crawl_errors(fetch_log: DataFrame) -> DataFrame:
     )
 
 
-def crawl_report(fetch_log: DataFrame) -> DataFrame:
-    """The crawl report as rows ``(section, name, value)``: totals, then one JSON detail per URL."""
+def crawl_report(fetch_log: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> DataFrame:
+    """The crawl report as rows ``(section, name, value)``: totals, limits, one JSON detail per URL."""
+    limits = [
+        F.struct(F.lit("config").alias("section"), F.lit(name).alias("name"), F.lit(value).alias("value"))
+        for name, value in (
+            ("max_depth", str(crawl.max_depth)),
+            ("max_pages", str(crawl.max_pages)),
+            ("allowed_domains", ",".join(crawl.allowed_domains)),
+        )
+    ]
+    config = fetch_log.sparkSession.range(1).select(F.inline(F.array(*limits)))
     totals = crawl_metrics(fetch_log).select(
         F.lit("total").alias("section"),
         F.inline(
@@ -55,7 +64,7 @@ def crawl_report(fetch_log: DataFrame) -> DataFrame:
         F.col("url").alias("name"),
         F.to_json(F.struct("url", "status", "error_message", "response_time", "content_length")).alias("value"),
     )
-    return totals.unionByName(detail)
+    return totals.unionByName(config).unionByName(detail)
 
 
 def ingest_counters(fetch_log: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:

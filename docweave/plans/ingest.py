@@ -107,7 +107,8 @@ def ingest(
         batch,
     )
     store.save_figures()
-    figures = crawl_metrics(log).first()
+    store.write_fetch_log(log, number)
+    figures = crawl_metrics(store.fetch_log(number)).first()
     return IngestReport(
         total_time=time.monotonic() - begin,
         pages_scraped=figures["pages_scraped"],

@@ -42,6 +42,16 @@ CHUNKS = T.StructType(
     ]
 )
 
+FETCH_LOG = T.StructType(
+    [
+        T.StructField("url", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("error_message", T.StringType()),
+        T.StructField("response_time", T.DoubleType()),
+        T.StructField("content_length", T.IntegerType()),
+    ]
+)
+
 PAYLOAD = T.StructType(
     [
         T.StructField("operation", T.StringType()),

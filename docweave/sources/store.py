@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 from docweave.config import Settings
 from docweave.functions.vectors import normalise
-from docweave.operators.metrics import index_stats, system_stats
+from docweave.operators.metrics import crawl_report, index_stats, system_stats
 from docweave.operators.search import corpus_statistics, term_statistics
-from docweave.schemas import CHUNKS, DOCUMENTS
+from docweave.schemas import CHUNKS, DOCUMENTS, FETCH_LOG
 from docweave.session import bounded
 
 COMMITS = T.StructType(
@@ -118,6 +118,17 @@ class CorpusStore:
         row.write.mode("append").json(self._path("commits"))
         return batch
 
+    def write_fetch_log(self, log: DataFrame, batch: int) -> None:
+        log.write.mode("overwrite").parquet(self._path("fetch_log", f"batch={batch}"))
+
+    def fetch_log(self, batch: int | None = None) -> DataFrame:
+        """What an ingest fetched, the last one unless told otherwise."""
+        batch = self.last_batch() if batch is None else batch
+        return self.spark.read.schema(FETCH_LOG).parquet(self._path("fetch_log", f"batch={batch}"))
+
+    def write_crawl_report(self, path: str, batch: int | None = None) -> None:
+        crawl_report(self.fetch_log(batch), self.settings.crawl).write.mode("overwrite").json(path)
+
     def compact(self) -> int:
         """Folds the segments into one, sorted by id so that look-ups skip most row groups."""
         documents = self.documents().repartitionByRange("doc_id").sortWithinPartitions("doc_id")

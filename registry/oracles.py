@@ -321,6 +321,7 @@ NAMED = f"SELECT md5(url) AS doc_id, {host('url')} AS host, CASE WHEN ends_with(
 ORACLES["raw_page_name"] = f"{NAMED}, url FROM pages"
 ORACLES["raw_page_sink"] = f"{NAMED}, length(html) AS n_chars FROM pages"
 ORACLES["crawl_report"] = f"""WITH {fetch_log('pages')} SELECT status AS section, url AS name, content_length::VARCHAR AS value FROM fetches
+UNION ALL SELECT * FROM (VALUES ('config', 'max_depth', '5'), ('config', 'max_pages', '150'), ('config', 'allowed_domains', ''))
 UNION ALL SELECT 'total', 'total_urls_attempted', count(*)::VARCHAR FROM fetches
 UNION ALL SELECT 'total', 'successful_crawls', count(*) FILTER (status = 'success')::VARCHAR FROM fetches
 UNION ALL SELECT 'total', 'failed_crawls', count(*) FILTER (status = 'failed')::VARCHAR FROM fetches"""

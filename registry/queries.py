@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from docweave.config import Settings
 from docweave.functions import filters as P
-from docweave.functions import html as H
 from docweave.functions import text as X
 from docweave.functions import urls as U
 from docweave.functions import vectors as V
@@ -150,7 +149,7 @@ def crawl_report(spark, d):
     return rows.select(
         "section",
         "name",
-        F.when(F.col("section") == "total", F.col("value"))
+        F.when(F.col("section").isin("total", "config"), F.col("value"))
         .otherwise(parsed["content_length"].cast("string"))
         .alias("value"),
     )
@@ -732,7 +731,7 @@ def batch_answers(spark, d):
     documents, chunks = store.documents(), store.chunks()
     answers = A.answer_questions(user_questions(spark, d), chunks, documents, FEW_SOURCES)
     return answers.select(
-        "question_id", "answer", "documents_retrieved", "documents_used", F.lit(None).cast("string").alias("error")
+        "question_id", "answer", "documents_retrieved", "documents_used", "error"
     ).orderBy("question_id")
 
 

@@ -49,6 +49,12 @@ def test_engine_end_to_end(spark, engine, tmp_path):
     assert engine.chunk(chunk).count() == 1 and engine.similar_chunks([chunk], 2).count() == 2
     stats = {r["name"]: r["value"] for r in engine.stats().collect()}
     assert stats["index.num_documents"] == "2" and stats["chunk.size"] == "1000"
+    answers, summary = engine.batch(["apple", "banana"])
+    assert [r["question_id"] for r in answers.collect()] == [0, 1]
+    assert summary.first()["successful_questions"] == 2 and summary.first()["total_processing_time"] > 0
+    engine.store.write_crawl_report(f"file://{tmp_path}/report")
+    report_rows = {(r["section"], r["name"]): r["value"] for r in spark.read.json(f"file://{tmp_path}/report").collect()}
+    assert report_rows["total", "failed_crawls"] == "1" and report_rows["config", "max_pages"] == "150"
     engine.export(f"file://{tmp_path}/out")
     exported = spark.read.json(f"file://{tmp_path}/out/documents")
     assert exported.count() == 2 and "T" in exported.first()["created_at"]
@@ -126,6 +132,13 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
     assert len(store.commits()) == 3 and key(store) == key(engine.store)
 
 
+def test_latest_page_of_a_url(spark):
+    # one URL holds most of the table, and its newest copy occurs twice
+    rows = [(i, "http://x/hot", f"v{i}") for i in range(30)] + [(29, "http://x/hot", "v29"), (40, "http://x/b", "b"), (1, "http://x/c", None)]
+    got = sorted(tuple(r) for r in SP.latest_pages(table(spark, rows)).collect())
+    assert got == [(1, "http://x/c", None), (29, "http://x/hot", "v29"), (40, "http://x/b", "b")]
+
+
 def test_upsert_operators(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 1)], "doc_id string, v int")
     incoming = spark.createDataFrame([("b", 2), ("c", 2)], "doc_id string, v int")
