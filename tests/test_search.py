@@ -182,3 +182,22 @@ def test_first_rows(spark, limit):
     df = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("k")).repartition(6)
     wanted = sorted(r["k"] for r in df.collect())[:137]
     assert sorted(r["k"] for r in first_rows(df, "k", 137, sort_limit=limit).collect()) == wanted
+
+
+def test_model_embedder_plugs_in(small):
+    def make_predict():
+        import numpy as np
+
+        def predict(texts):
+            return np.array([[float(t.count("a")), float(t.count("e"))] for t in texts], dtype=np.float32)
+
+        return predict
+
+    questions, chunks, documents = small
+    embed = V.model_embedder(make_predict, 2, 3)
+    two = Settings().override({"embed": {"dimension": 2}, "search": {"rerank": False}})
+    chunks = S.embed_chunks(chunks.drop("embedding"), two, embed)
+    found = S.retrieve(questions, chunks, documents, two, top=1, embed=embed)
+    # 'alpha?' counts (2, 0); the chunks of d1 count (6, 2) and (6, 1)
+    assert ranks(found)["q1"] == ["d1_chunk_1"]
+    assert found.where("question_id = 'q1'").first()["score"] == pytest.approx(6 / 37**0.5, abs=1e-6)
