@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, quality_rules, secrets
+from docweave.llm import mixing, quality_rules, secrets, token_store
 from docweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,12 @@ def op9_secret_scan(spark, d):
     rows = secrets.find_secrets(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", joined.alias("spans"))
+
+
+@query
+def op8_token_files(spark, d):
+    import public_tokenizers
+
+    folder = token_store.token_folder(spark)
+    manifest = token_store.write_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_store.token_digests(manifest, folder)
