@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, quality_rules, secrets, token_store
+from docweave.llm import mixing, quality_rules, secrets, simhash, token_store
 from docweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op8_token_files(spark, d):
     folder = token_store.token_folder(spark)
     manifest = token_store.write_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return token_store.token_digests(manifest, folder)
+
+
+@query
+def op4_simhash_groups(spark, d):
+    rows = simhash.near_duplicates(table(spark, d, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
