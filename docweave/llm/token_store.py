@@ -28,7 +28,7 @@ from docweave.session import cut_lineage, fresh_path
 
 FRAME_IDS = 1 << 16
 END_ID = 0
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 # Fixed values of the zstandard skippable frame and seekable formats.
 INDEX_MAGIC = 0x184D2A50
@@ -50,6 +50,9 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -69,9 +72,10 @@ class Encoder:
         split = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        new = list(set().union(*(p[1:] for p in split)) - self.known.keys())
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        known = self.known
+        new = [p for p in set().union(*(p[1:] for p in split)) if p not in known]
+        for start in range(0, len(new), 5_000):
+            part = new[start : start + 5_000]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast([" " + p for p in part], add_special_tokens=False), strict=True):
                 ids = found.ids
                 self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
@@ -205,7 +209,7 @@ def write_tokens(
         part = TaskContext.get().partitionId()
         place, root = fs.FileSystem.from_uri(folder)
         path, out, writer, encoder = f"part-{part:06d}-{uuid.uuid4().hex}.zst", None, None, None
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=1 << 20):
             if writer is None and batch.num_rows:
                 place.create_dir(root, recursive=True)
                 out = place.open_output_stream(f"{root}/{path}", compression=None)
