@@ -28,7 +28,7 @@ from docweave.session import cut_lineage, fresh_path
 
 FRAME_IDS = 1 << 16
 END_ID = 0
-CACHE_PIECES = 200_000
+CACHE_PIECES = 250_000
 
 # Fixed values of the zstandard skippable frame and seekable formats.
 INDEX_MAGIC = 0x184D2A50
@@ -39,14 +39,20 @@ CHECKSUMS = 0x80
 #: A blank before a non-blank always starts a new piece of a byte-level tokenizer's split.
 _CUT = re.compile(r"(?= \S)")
 _NOT_PLAIN = re.compile(r" (?:\s|\Z)")
+#: Letters, a mark or none, and perhaps a line break and the same again.
+_MARKED = re.compile(r"([^\W\d_]+)([.,]?)(?:\n([^\W\d_]+)([.,]?))?")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level vocabularies write a byte that is not printable as the next letter from 256 on.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Encoder:
     """Ids of texts through a ``tokenizers`` vocabulary whose split is byte-level.
 
-    Such a vocabulary never merges across the start of a blank-led word, so a text's ids are those
-    of its blank-led pieces in order. Ids of pieces are remembered, up to ``CACHE_PIECES``; only
-    new ones go through the tokenizer.
+    Such a vocabulary never merges across the start of a blank-led word, nor between letters and the
+    full stop, comma or single line break after them, so a text's ids are those of its pieces in
+    order. Ids of pieces are remembered in two generations of ``CACHE_PIECES``; only new ones go
+    through the tokenizer.
     """
 
     def __init__(self, vocabulary: str):
@@ -57,34 +63,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}  # by what follows the blank
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # without a blank
+
+    @staticmethod
+    def of(vocabulary: str) -> Encoder:
+        """The encoder of this process: Python workers serve many tasks."""
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("docweave_encoders", {})
+        if vocabulary not in kept:
+            kept[vocabulary] = Encoder(vocabulary)
+        return kept[vocabulary]
 
     def pieces(self, text: str) -> list[str]:
         """The first piece, then the blank-led ones without their blank."""
         if _NOT_PLAIN.search(text):
             first, *rest = _CUT.split(text)
-            if text.startswith(" ") and first == "":
-                return ["", *(p[1:] for p in rest)]
             return [first, *(p[1:] for p in rest)]
         return text.split(" ")
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of one unit of the split (letters with or without a blank, one mark), straight from the merges."""
+        if not unit.isascii() or unit[0] in " \n":
+            unit = unit.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [token.id for token in self.model.tokenize(unit)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds blank-led pieces: words with marks by their units, anything else whole."""
+        known, bare, unit, whole = self.known, self.bare, self._unit, []
+        if len(bare) > CACHE_PIECES:
+            bare.clear()
+        for piece in new:
+            match = _MARKED.fullmatch(piece)
+            if not match:
+                whole.append(piece)
+                continue
+            word, mark, following, end = match.groups()
+            if not word.isalpha() or (following and not following.isalpha()):
+                whole.append(piece)
+                continue
+            if (ids := known.get(word)) is None:
+                ids = known[word] = unit(" " + word)
+            for part in (mark, following and "\n", following, end):
+                if part:
+                    if (more := bare.get(part)) is None:
+                        more = bare[part] = unit(part)
+                    ids += more
+            known[piece] = ids
+        known.update(zip(whole, self._ids([" " + p for p in whole]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = [p for p in set().union(*(p[1:] for p in split)) if p not in known]
-        for start in range(0, len(new), 5_000):
-            part = new[start : start + 5_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([" " + p for p in part], add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        firsts = self.tokenizer.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
-        end = struct.pack("<I", END_ID)
-        of = self.known.__getitem__
-        return [
-            b"".join([struct.pack(f"<{len(f.ids)}I", *f.ids), *map(of, p[1:]), end]) for f, p in zip(firsts, split, strict=True)
-        ]
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for piece in set().union(*(p[1:] for p in split)):
+            if piece not in known:
+                if (ids := older.get(piece)) is None:
+                    new.append(piece)
+                else:
+                    known[piece] = ids
+        self._learn(new)
+        firsts, end, of = self._ids([p[0] for p in split]), struct.pack("<I", END_ID), known.__getitem__
+        return [b"".join([first, *map(of, p[1:]), end]) for first, p in zip(firsts, split, strict=True)]
 
 
 class FrameWriter:
@@ -213,7 +262,7 @@ def write_tokens(
             if writer is None and batch.num_rows:
                 place.create_dir(root, recursive=True)
                 out = place.open_output_stream(f"{root}/{path}", compression=None)
-                writer, encoder = FrameWriter(out, frame_ids), Encoder(vocabulary)
+                writer, encoder = FrameWriter(out, frame_ids), Encoder.of(vocabulary)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch)) if batch.num_rows else [], strict=True):
                 writer.add(doc_id, ids)
         if writer is not None:
