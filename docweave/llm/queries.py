@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, quality_rules, secrets, simhash, token_store
-from docweave.llm.common import table
+from docweave.llm import mixing, quality_rules, secrets, simhash, token_store, toxicity
+from docweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,11 @@ def op8_token_files(spark, d):
 def op4_simhash_groups(spark, d):
     rows = simhash.near_duplicates(table(spark, d, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_toxicity(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id")))
+    rows = toxicity.score_texts(docs, model)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
