@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, quality_rules, secrets, simhash, token_store, toxicity
+from docweave.llm import mixing, quality_model, quality_rules, secrets, simhash, token_store, toxicity
 from docweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,11 @@ def op2_toxicity(spark, d):
     model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id")))
     rows = toxicity.score_texts(docs, model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_quality_model(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = quality_model.fit(docs, labels, ~held_out(F.col("doc_id")))
+    rows = quality_model.score_texts(docs, model)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
