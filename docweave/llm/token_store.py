@@ -28,7 +28,7 @@ from docweave.session import cut_lineage, fresh_path
 
 FRAME_IDS = 1 << 16
 END_ID = 0
-CACHE_PIECES = 250_000
+CACHE_PIECES = 800_000
 
 # Fixed values of the zstandard skippable frame and seekable formats.
 INDEX_MAGIC = 0x184D2A50
@@ -258,7 +258,7 @@ def write_tokens(
         part = TaskContext.get().partitionId()
         place, root = fs.FileSystem.from_uri(folder)
         path, out, writer, encoder = f"part-{part:06d}-{uuid.uuid4().hex}.zst", None, None, None
-        for batch in slices(batches, most_bytes=1 << 20):
+        for batch in slices(batches, rows=2048, most_bytes=1 << 23):
             if writer is None and batch.num_rows:
                 place.create_dir(root, recursive=True)
                 out = place.open_output_stream(f"{root}/{path}", compression=None)
