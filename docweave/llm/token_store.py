@@ -139,7 +139,7 @@ class Encoder:
 class FrameWriter:
     """Writes one file to a binary handle; ``close`` adds the index and the seek table."""
 
-    def __init__(self, out: BinaryIO, frame_ids: int = FRAME_IDS, level: int = 3):
+    def __init__(self, out: BinaryIO, frame_ids: int = FRAME_IDS, level: int = 1):
         import xxhash
         import zstandard
 
@@ -250,11 +250,13 @@ def write_tokens(
     rows = rows.repartitionByRange(n, "doc_id", "__h").sortWithinPartitions("doc_id", "__h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import uuid
 
         from pyarrow import fs
         from pyspark import TaskContext
 
+        gc.disable()  # millions of small strings, no cycles: the collector only costs time
         part = TaskContext.get().partitionId()
         place, root = fs.FileSystem.from_uri(folder)
         path, out, writer, encoder = f"part-{part:06d}-{uuid.uuid4().hex}.zst", None, None, None
