@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, quality_model, quality_rules, secrets, simhash, token_store, toxicity
+from docweave.llm import decontaminate, mixing, quality_model, quality_rules, secrets, simhash, token_store, toxicity
 from docweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,39 @@ def op7_quality_model(spark, d):
     model = quality_model.fit(docs, labels, ~held_out(F.col("doc_id")))
     rows = quality_model.score_texts(docs, model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_decontaminate(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = decontaminate.marked(docs, table(spark, d, "benchmark"))
+    ids = F.array_join(F.transform("items", lambda i: i.cast("string")), ",")
+    return rows.select("doc_id", F.size("items").cast("long").alias("n_items"), ids.alias("items"), (F.size("items") > 0).alias("leaked"))
+
+
+ORACLES["op6_decontaminate"] = r"""
+WITH src AS (SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+             UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark),
+r AS (SELECT side, id, list_filter(string_split(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text,
+        '([^.!?:\x20\x09-\x0D][\x20\x09-\x0D])(\p{Lu})', '\1^\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])(\p{L})', '\1 \2', 'g')),
+        '[^\p{L}\p{M}\p{N}^]+', ' ', 'g'), ' '), lambda w: w <> '' AND w <> '^') AS raw FROM src),
+t AS (SELECT *, list_transform(raw, lambda w: CASE WHEN substr(w, 1, 1) BETWEEN '0' AND '9' THEN '<num>' WHEN substr(w, 1, 1) = '^' THEN '<name>'
+        WHEN w IN (__UNITS__) THEN '<unit>' ELSE w END) AS typed FROM r),
+sizes AS (SELECT DISTINCT least(len(raw), 5) AS size FROM t WHERE side = 'b' AND len(raw) > 0),
+w AS (SELECT side, id, size, i, len(raw) AS n, typed[i + 1 : i + size] AS key, raw[i + 1 : i + size] AS vals
+      FROM t, sizes, unnest(range(0, len(raw) - size + 1)) AS u(i) WHERE len(raw) >= size),
+b AS (SELECT *, count(*) OVER (PARTITION BY id) AS item_windows FROM w WHERE side = 'b' AND (size = 5 OR n = size)
+        AND len(list_filter(key, lambda x: NOT starts_with(x, '<'))) >= least(3, size)),
+h AS (SELECT d.id AS doc_id, b.id AS item_id, b.item_windows, b.i AS item_at, d.key, d.vals AS dv, b.vals AS bv
+      FROM w d JOIN b ON d.side = 'd' AND d.size = b.size AND d.key = b.key),
+s AS (SELECT DISTINCT doc_id, item_id, key[k] AS kind, bv[k] AS item_value, dv[k] AS doc_value
+      FROM h, unnest(range(1, 6)) AS u(k) WHERE starts_with(key[k], '<')),
+c AS (SELECT doc_id, item_id, count(*) = count(DISTINCT (kind, item_value)) AND count(*) = count(DISTINCT (kind, doc_value)) AS consistent
+      FROM s GROUP BY ALL),
+g AS (SELECT doc_id, item_id, count(DISTINCT item_at) AS n, any_value(item_windows) AS item_windows FROM h GROUP BY ALL),
+l AS (SELECT g.doc_id, g.item_id FROM g LEFT JOIN c ON g.doc_id = c.doc_id AND g.item_id = c.item_id
+      WHERE coalesce(consistent, true) AND n / item_windows >= 0.8),
+a AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM l GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items, '') AS items, coalesce(n_items, 0) > 0 AS leaked
+FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
+""".replace("__UNITS__", ", ".join(f"'{u}'" for u in decontaminate.UNITS))
