@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate, mixing, quality_model, quality_rules, secrets, simhash, token_store, toxicity
+from docweave.llm import decontaminate, mixing, quality_model, quality_rules, rlz_dedup, secrets, simhash, suffix_dedup, token_store, toxicity
 from docweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,18 @@ a AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT d.doc_id, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items, '') AS items, coalesce(n_items, 0) > 0 AS leaked
 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
 """.replace("__UNITS__", ", ".join(f"'{u}'" for u in decontaminate.UNITS))
+
+
+def _removed(name: str):
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"]).alias("n_removed")
+    return "doc_id", name, removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+
+
+@query
+def op3_suffix_dedup(spark, d):
+    return suffix_dedup.remove_repeats(table(spark, d, "documents")).select(*_removed("n_bytes"))
+
+
+@query
+def op10_rlz_dedup(spark, d):
+    return rlz_dedup.remove_repeats(table(spark, d, "documents")).select(*_removed("n_words"))
