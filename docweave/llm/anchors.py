@@ -275,12 +275,13 @@ def repeats(docs: DataFrame, spec: Spec, order: Callable, id_col: str = "doc_id"
     comparing. Hot anchors are combined before a shuffle (equal runs of windows are one row).
     """
     found = stored(occurrences(docs, spec, id_col, text_col), "anchors")
-    again = found.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1").select("key")
+    # written first: a join of two plain exchanges is one whose hot keys Spark can split
+    again = stored(found.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1").select("key"), "repeated-keys")
     live = stored(found.join(again, "key", "left_semi"), "repeated-anchors")
     last = F.col("doc_id").isNull()
     place = F.struct(last.alias("last"), *[F.col(c) for c in ("doc_id", "h", "at", "before", "after")])
     runs = stored(live.groupBy("key", "run").agg(F.count("*").alias("n"), F.min(place).alias("first")), "runs")
-    mixed = runs.groupBy("key").agg(F.count("*").alias("__runs")).filter("__runs > 1")
+    mixed = stored(runs.groupBy("key").agg(F.count("*").alias("__runs")).filter("__runs > 1"), "mixed-keys")
     wanted = runs.join(mixed, "key").select("key", "run", "n", (F.col("__runs") > MANY).alias("many"), "first.*").drop("last")
     around = stored(_surroundings(docs, wanted, spec, id_col, text_col), "surroundings")
     partly = _by_anchor(around.filter("not many"), spec, order).union(_by_windows(around.filter("many"), spec))

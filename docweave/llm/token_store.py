@@ -257,21 +257,25 @@ def write_tokens(
         from pyspark import TaskContext
 
         gc.disable()  # millions of small strings, no cycles: the collector only costs time
-        part = TaskContext.get().partitionId()
-        place, root = fs.FileSystem.from_uri(folder)
-        path, out, writer, encoder = f"part-{part:06d}-{uuid.uuid4().hex}.zst", None, None, None
-        for batch in slices(batches, rows=2048, most_bytes=1 << 23):
-            if writer is None and batch.num_rows:
-                place.create_dir(root, recursive=True)
-                out = place.open_output_stream(f"{root}/{path}", compression=None)
-                writer, encoder = FrameWriter(out, frame_ids), Encoder.of(vocabulary)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch)) if batch.num_rows else [], strict=True):
-                writer.add(doc_id, ids)
-        if writer is not None:
-            writer.close()
-            out.close()
-            row = {"part": [part], "path": [path], "n_docs": [len(writer.counts)], "n_tokens": [sum(writer.counts)]}
-            yield pa.RecordBatch.from_pydict(row)
+        try:
+            part = TaskContext.get().partitionId()
+            place, root = fs.FileSystem.from_uri(folder)
+            path, out, writer, encoder = f"part-{part:06d}-{uuid.uuid4().hex}.zst", None, None, None
+            for batch in slices(batches, rows=2048, most_bytes=1 << 23):
+                if writer is None and batch.num_rows:
+                    place.create_dir(root, recursive=True)
+                    out = place.open_output_stream(f"{root}/{path}", compression=None)
+                    writer, encoder = FrameWriter(out, frame_ids), Encoder.of(vocabulary)
+                if writer is not None:
+                    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch)), strict=True):
+                        writer.add(doc_id, ids)
+            if writer is not None:
+                writer.close()
+                out.close()
+                row = {"part": [part], "path": [path], "n_docs": [len(writer.counts)], "n_tokens": [sum(writer.counts)]}
+                yield pa.RecordBatch.from_pydict(row)
+        finally:
+            gc.enable()
 
     manifest = cut_lineage(rows.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
     # one row per file: as many rows as the exchange has partitions
