@@ -20,9 +20,7 @@ RANGE_TESTS = {
 
 
 def relevant(url: Column, content: Column, rule: RelevanceSettings) -> Column:
-    """URL term, enough content terms, or enough brand terms; no terms at all keeps everything."""
-    if not rule.url_terms and not rule.content_terms:
-        return F.lit(True)
+    """URL term, enough content terms, or enough brand terms; without content terms everything is kept."""
     if not rule.content_terms:
         return F.lit(True)
     text = F.lower(content)

@@ -1,14 +1,17 @@
 """HTML columns, all JVM-side and shuffle-free.
 
 A heuristic page scorer is not reproduced: the main text is the ``<article>`` (or
-``<main>``) block, else the block with most text, else the body.
+``<main>``) block, else the blocks with a fair share of the text, else the body.
 """
 
 from __future__ import annotations
 
+from html import entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.binding import let
 from docweave.functions.text import collapse
 
 # Comments, scripts and styles are removed first and in one pass, so that markup quoted
@@ -23,64 +26,79 @@ CHROME_IN_PAGE = ("nav", "header", "footer")
 CHROME_IN_MAIN = ("nav", "header", "footer", "aside", "form", "button")
 TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
 BLOCK_EDGE = r"(?i)</?(?:div|section|table|td|body|html|head)\b[^>]*>"
-ANCHOR = (
-    r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>.*?</a\s*>"
-)
-ANCHOR_HREF = r"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
-
-# Entity names of the code points 160 to 255, in order.
-LATIN1_NAMES = (
-    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn "
-    "sup2 sup3 acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute "
-    "Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde "
-    "Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig agrave "
-    "aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml eth "
-    "ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
-).split()
-# Other entity names in common use.
-OTHER_NAMES = {
-    "quot": 34, "amp": 38, "apos": 39, "lt": 60, "gt": 62, "ndash": 8211, "mdash": 8212, "lsquo": 8216,
-    "rsquo": 8217, "sbquo": 8218, "ldquo": 8220, "rdquo": 8221, "bdquo": 8222, "bull": 8226,
-    "hellip": 8230, "euro": 8364, "trade": 8482,
-}
+# A page without article or main keeps the blocks with at least this share (percent) of the
+# longest one's text; if they hold less than that share of the page's text, it keeps the page.
+BLOCK_PERCENT = 25
+PAGE_PERCENT = 80
+# A page is cut in front of every opening anchor; a piece is a link if the anchor has an href, and
+# its text ends at the closing tag or with the piece.
+ANCHOR_CUT = r"(?i)(?=<a\s)"
+ANCHOR_OPEN = r"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>"
+ANCHOR_TEXT = ANCHOR_OPEN + r"(.*?)(?:</a\s*>.*)?\z"
+NAMED = r"^([a-zA-Z][a-zA-Z0-9]*);"
+NUMBERED = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});?"
 
 
 def entity_table() -> dict[str, str]:
-    latin1 = {name: chr(160 + i) for i, name in enumerate(LATIN1_NAMES)}
-    return latin1 | {name: chr(code) for name, code in OTHER_NAMES.items()}
+    """Names of character references that end in a semicolon, from the standard library's table."""
+    return {name[:-1]: chars for name, chars in entities.html5.items() if name.endswith(";")}
+
+
+def bare_entity_table() -> dict[str, str]:
+    """Names that count without a semicolon too."""
+    return {name: chars for name, chars in entities.html5.items() if not name.endswith(";")}
+
+
+def number_table() -> dict[int, str]:
+    """Numbers 128 to 159 name the characters of Windows-1252, where it has one."""
+    return {n: char for n in range(128, 160) if (char := bytes([n]).decode("cp1252", "ignore"))}
 
 
 def chrome_pattern(names: tuple[str, ...]) -> str:
     return "(?is)" + "|".join(rf"<{name}\b.*?</{name}\s*>" for name in names)
 
 
+def _lookup(table: dict[str, str], name: Column) -> Column:
+    keys, values = (F.lit(list(side)) for side in zip(*table.items(), strict=True))
+    return F.try_element_at(F.map_from_arrays(keys, values), name)
+
+
 def decode_entities(text: Column) -> Column:
-    """Character references to characters, each decoded once; unknown ones stay as they are."""
-    listed = ", ".join(f"'{name}', decode(unhex('{ord(char):08X}'), 'UTF-32')" for name, char in entity_table().items())
-    names = F.expr(f"map({listed})")
+    """Character references to characters, each decoded once; unknown ones stay as they are.
 
-    def named(part: Column) -> Column:
-        return F.struct(part.alias("part"), F.regexp_extract(part, ENTITY, 1).alias("name"))
+    Old names count without a semicolon, the longest that fits; numbers outside Unicode stay.
+    """
+    bare = "^(" + "|".join(sorted(bare_entity_table(), key=lambda name: (-len(name), name))) + ")"
+    windows = {str(n): char for n, char in number_table().items()}
 
-    def numbered(item: Column) -> Column:
-        name = item["name"]
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int")).when(
-            name.startswith("#"), F.substring(name, 2, 8).cast("int")
+    def read(part: Column) -> Column:
+        number = F.regexp_extract(part, NUMBERED, 1)
+        code = F.when(number.rlike("^#[xX]"), F.conv(F.substring(number, 3, 8), 16, 10).cast("int")).when(
+            number != "", F.substring(number, 2, 8).cast("int")
+        )
+        return F.struct(
+            part.alias("part"),
+            F.regexp_extract(part, NAMED, 1).alias("name"),
+            code.alias("code"),
+            F.length(F.regexp_extract(part, NUMBERED, 0)).alias("digits"),
+            F.regexp_extract(part, bare, 1).alias("bare"),
         )
-        return F.struct(item["part"].alias("part"), name.alias("name"), code.alias("code"))
 
     def decoded(item: Column, position: Column) -> Column:
-        code = item["code"]
+        code, rest = item["code"], lambda n: F.substr(item["part"], n + F.lit(1))
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        char = F.coalesce(F.try_element_at(names, item["name"]), numeric)
-        tail = F.substr(item["part"], F.length(item["name"]) + F.lit(2))
+        plain = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        number = F.when(code.between(128, 159), F.coalesce(_lookup(windows, code.cast("string")), plain)).otherwise(plain)
         return F.when(position == 0, item["part"]).otherwise(
-            F.coalesce(F.concat(char, tail), F.concat(F.lit("&"), item["part"]))
+            F.coalesce(
+                F.concat(F.when(item["name"] != "", _lookup(entity_table(), item["name"])), rest(F.length(item["name"]) + F.lit(1))),
+                F.concat(number, rest(item["digits"])),
+                F.concat(F.when(item["bare"] != "", _lookup(bare_entity_table(), item["bare"])), rest(F.length(item["bare"]))),
+                F.concat(F.lit("&"), item["part"]),
+            )
         )
 
-    pieces = F.transform(F.transform(F.split(text, "&"), named), numbered)
+    pieces = F.transform(F.split(text, "&"), read)
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
 
 
@@ -101,13 +119,23 @@ def element(html: Column, name: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*)</{name}\s*>", 1)
 
 
-def longest_block(html: Column) -> Column:
-    """The piece between block tags that holds most text; the first one on a tie."""
+def main_blocks(html: Column) -> Column:
+    """The pieces between block tags that hold a fair share of the text, in order, or all of it."""
     sized = F.transform(
-        F.split(html, BLOCK_EDGE),
-        lambda b, i: F.struct(F.length(collapse(without_tags(b))).alias("n"), (-i).alias("at"), b.alias("html")),
+        F.split(html, BLOCK_EDGE), lambda b: F.struct(F.length(collapse(without_tags(b))).alias("n"), b.alias("html"))
     )
-    return F.array_max(sized)["html"]
+    total = lambda blocks: F.aggregate(blocks, F.lit(0), lambda sum, b: sum + b["n"])
+
+    def chosen(blocks: Column) -> Column:
+        most = F.array_max(F.transform(blocks, lambda b: b["n"]))
+        return let(most, lambda most: F.filter(blocks, lambda b: 100 * b["n"] >= BLOCK_PERCENT * most))
+
+    def picked(blocks: Column) -> Column:
+        joined = lambda kept: F.array_join(F.transform(kept, lambda b: b["html"]), " ")
+        enough = lambda kept: 100 * total(kept) >= PAGE_PERCENT * total(blocks)
+        return let(chosen(blocks), lambda kept: F.when(enough(kept), joined(kept)).otherwise(joined(blocks)))
+
+    return let(sized, picked)
 
 
 def raw_title(quiet: Column) -> Column:
@@ -117,13 +145,12 @@ def raw_title(quiet: Column) -> Column:
 def anchors(quiet: Column) -> Column:
     """``array<struct<href, anchor>>`` in page order; anchor text is lower-cased."""
 
-    def parts(tag: Column) -> Column:
-        quoted = F.regexp_extract(tag, ANCHOR_HREF, 1)
-        href = F.regexp_replace(quoted, "^[\"']|[\"']$", "")
-        inner = F.regexp_replace(tag, TAG, "")
+    def parts(piece: Column) -> Column:
+        href = F.regexp_replace(F.regexp_extract(piece, ANCHOR_OPEN, 1), "^[\"']|[\"']$", "")
+        inner = F.regexp_replace(F.regexp_extract(piece, ANCHOR_TEXT, 2), TAG, "")
         return F.struct(
             F.trim(decode_entities(href)).alias("href"),
             F.lower(collapse(decode_entities(inner))).alias("anchor"),
         )
 
-    return F.transform(F.regexp_extract_all(quiet, F.lit(ANCHOR), F.lit(0)), parts)
+    return F.transform(F.filter(F.split(quiet, ANCHOR_CUT), lambda piece: piece.rlike(ANCHOR_OPEN)), parts)

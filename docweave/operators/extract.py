@@ -33,7 +33,7 @@ def with_main_text(pages: DataFrame, column: str = "main_text") -> DataFrame:
             "_block",
             F.when(F.col("_article") != "", F.col("_article"))
             .when(F.col("_main") != "", F.col("_main"))
-            .otherwise(H.longest_block(F.regexp_replace("_core", r"(?is)^.*<body\b[^>]*>", ""))),
+            .otherwise(H.main_blocks(F.regexp_replace("_core", r"(?is)^.*<body\b[^>]*>", ""))),
         )
         .withColumn("_stripped", H.without_tags(F.col("_block")))
         .withColumn("_text", H.decode_entities(F.col("_stripped")))

@@ -55,21 +55,18 @@ def page_links(pages: DataFrame, crawl: CrawlSettings = CrawlSettings()) -> Data
             item["dst_url"], crawl.allowed_domains, crawl.domain_suffix_match
         )
 
+    def first_of_each(rows: Column) -> Column:
+        """The first of each run of one target in a sorted array."""
+        return F.filter(rows, lambda x, i: (i == 0) | (F.get(rows, i - 1)["dst_url"] != x["dst_url"]))
+
     def ordered(page: Column) -> Column:
-        targets = F.transform(page["links"], lambda x: x["dst_url"])
-        first = F.filter(page["links"], lambda x: x["is_priority"])
-        lists = F.struct(targets.alias("targets"), F.transform(first, lambda x: x["dst_url"]).alias("priority"))
-        return let(lists, lambda both: F.array_sort(F.transform(F.array_distinct(both["targets"]), first_seen(page, both))))
-
-    def first_seen(page: Column, both: Column):
-        def row(target: Column) -> Column:
-            at = F.element_at(page["links"], F.array_position(both["targets"], target).cast("int"))
-            priority = F.array_contains(both["priority"], target)
-            return F.struct(
-                (~priority).alias("_later"), at["pos"].alias("pos"), target.alias("dst_url"), priority.alias("is_priority")
-            )
-
-        return row
+        # sorted twice by target: by place for the first one, by priority for whether any has it
+        placed = F.sort_array(F.transform(page["links"], lambda x: F.struct(x["dst_url"].alias("dst_url"), x["pos"].alias("pos"))))
+        ranked = F.sort_array(F.transform(page["links"], lambda x: F.struct(x["dst_url"].alias("dst_url"), (~x["is_priority"]).alias("later"))))
+        merged = lambda a, b: F.struct(
+            b["later"].alias("_later"), a["pos"].alias("pos"), a["dst_url"].alias("dst_url"), (~b["later"]).alias("is_priority")
+        )
+        return F.sort_array(F.zip_with(let(placed, first_of_each), let(ranked, first_of_each), merged))
 
     return (
         quiet_pages(pages.where(F.col("html").isNotNull() & (F.col("html") != "")))

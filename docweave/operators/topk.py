@@ -34,7 +34,7 @@ def top_k(
     )
 
 
-def first_rows(df: DataFrame, order: str, n: int, sort_limit: int = 1_000_000) -> DataFrame:
+def first_rows(df: DataFrame, order: str, n: int, sort_limit: int = 10_000) -> DataFrame:
     """The first ``n`` rows of the whole table by a unique column.
 
     Small ``n`` is a sort with a limit. Beyond ``sort_limit`` rows the table is range

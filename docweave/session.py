@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """True if a read failed because nothing is at its path, and for no other reason."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; nothing is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

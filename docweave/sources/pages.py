@@ -12,8 +12,13 @@ from docweave.session import bounded, spread
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A page table; parsing is the costly part, so a small one is spread over the cores."""
-    return spread(spark.read.schema(PAGES).parquet(path))
+    """A page table, with the columns on how it was fetched where it has them.
+
+    Parsing is the costly part, so a small one is spread over the cores.
+    """
+    found = spark.read.parquet(path)
+    fetched = [c for c in ("crawl_ts", "response_time", "error_message") if c in found.columns]
+    return spread(found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PAGES.fields], *fetched))
 
 
 def fetch_log(pages: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 An ingest writes one segment per table, ``batch=<id>``, and then a one-row commit. Reading
 takes the committed segments and, per document, its latest one: so a re-ingested document
 replaces its rows and all its chunks, the cost of an ingest depends on the batch alone, a
-repeated batch id overwrites its own segment, and a half-written segment is never seen.
+committed segment is never overwritten, and a half-written one is never seen.
 ``compact`` folds the segments into one.
 """
 
@@ -21,13 +21,14 @@ from docweave.functions.vectors import normalise
 from docweave.operators.metrics import crawl_report, index_stats, system_stats
 from docweave.operators.search import corpus_statistics, term_statistics
 from docweave.schemas import CHUNKS, DOCUMENTS, FETCH_LOG
-from docweave.session import bounded
+from docweave.session import bounded, is_missing
 
 COMMITS = T.StructType(
     [
         T.StructField("batch", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("committed_at", T.TimestampType()),
+        T.StructField("owner", T.StringType()),
     ]
 )
 _BATCH = T.StructField("batch", T.LongType())
@@ -40,13 +41,22 @@ class CorpusStore:
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
 
+    def _commit_rows(self) -> list[tuple[int, str, str | None]]:
+        try:
+            rows = self.spark.read.schema(COMMITS).json(self._path("commits")).select("batch", "kind", "owner").collect()
+        except AnalysisException as error:
+            if is_missing(error):
+                return []
+            raise
+        return [tuple(row) for row in rows]
+
     def commits(self) -> list[tuple[int, str]]:
         """``(batch, kind)`` of every commit in order: one small row per ingest."""
-        try:
-            rows = self.spark.read.schema(COMMITS).json(self._path("commits")).select("batch", "kind").collect()
-        except AnalysisException:
-            return []
-        return sorted({(row["batch"], row["kind"]) for row in rows})
+        return sorted({(batch, kind) for batch, kind, _ in self._commit_rows()})
+
+    def committed_by(self, owner: str) -> bool:
+        """True if a commit carries this owner: how a replayed stream batch knows that it is done."""
+        return any(name == owner for _, _, name in self._commit_rows())
 
     def last_batch(self) -> int:
         """The greatest committed batch id; -1 for an empty store."""
@@ -99,12 +109,17 @@ class CorpusStore:
         chunks: DataFrame | Callable[[DataFrame], DataFrame],
         batch: int | None = None,
         full: bool = False,
+        owner: str | None = None,
     ) -> int:
         """One segment. ``chunks`` may be a function of the documents just stored.
 
-        ``full`` makes it the whole store: earlier segments are left behind.
+        ``full`` makes it the whole store: earlier segments are left behind. A segment takes the
+        next free id; a committed one is never written again. One writer at a time.
         """
-        batch = self.last_batch() + 1 if batch is None else batch
+        if batch is None:
+            batch = self.last_batch() + 1
+        elif any(batch == taken for taken, _ in self.commits()):
+            raise ValueError(f"segment {batch} is committed")
         path = self._path("documents", f"batch={batch}")
         documents.select(*DOCUMENTS.names).write.mode("overwrite").parquet(path)
         if callable(chunks):
@@ -114,6 +129,7 @@ class CorpusStore:
             F.lit(batch).cast("long").alias("batch"),
             F.lit("full" if full else "delta").alias("kind"),
             F.current_timestamp().alias("committed_at"),
+            F.lit(owner).cast("string").alias("owner"),
         )
         row.write.mode("append").json(self._path("commits"))
         return batch
@@ -166,8 +182,10 @@ class CorpusStore:
         at = f"batch={self.last_batch()}"
         try:
             return {name: self.spark.read.parquet(self._path(name, at)) for name in ("terms", "totals")}
-        except AnalysisException:
-            return {}
+        except AnalysisException as error:
+            if is_missing(error):
+                return {}
+            raise
 
     def stats(self) -> DataFrame:
         return index_stats(self.chunks(), self.documents(), self.settings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from docweave.config import Settings
 from docweave.functions import vectors as V
 from docweave.plans.ingest import embedded_chunks, relevant_documents
 from docweave.schemas import PAGES
+from docweave.session import is_missing
 from docweave.sources.pages import latest_pages
 from docweave.sources.store import CorpusStore
 
@@ -35,16 +38,20 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Each micro-batch becomes one segment of the store, then the stream stops.
 
-    A replayed batch overwrites its own segment, and a document that arrives again replaces
-    its former rows and chunks when the store is read. Within a batch the last page of a URL
-    wins.
+    A batch takes the store's next free segment and commits it under its own name, so other
+    writers between two runs of the stream lose nothing, and a replayed batch that was committed
+    is skipped. A document that arrives again replaces its former rows and chunks when the store
+    is read. Within a batch the last page of a URL wins.
     """
     folder = checkpoint.rstrip("/")
-    first = _first_segment(store, f"{folder}/first_segment")
+    stream = _stream_name(store.spark, f"{folder}/name")
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        owner = f"{stream}:{batch_id}"
+        if store.committed_by(owner):
+            return
         documents = relevant_documents(latest_pages(batch), settings)
-        store.write(documents, lambda stored: embedded_chunks(stored, settings, embed), first + batch_id)
+        store.write(documents, lambda stored: embedded_chunks(stored, settings, embed), owner=owner)
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -54,14 +61,16 @@ def ingest_stream(
     )
 
 
-def _first_segment(store: CorpusStore, marker: str) -> int:
-    """The segment of this stream's batch 0, fixed when the stream first starts."""
+def _stream_name(spark: SparkSession, marker: str) -> str:
+    """This stream's name, given when it first starts."""
     try:
-        kept = store.spark.read.schema("n long").json(marker).first()
-    except AnalysisException:
+        kept = spark.read.schema("name string").json(marker).first()
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         kept = None
     if kept is not None:
-        return kept["n"]
-    first = store.last_batch() + 1
-    store.spark.range(1).select(F.lit(first).cast("long").alias("n")).write.mode("overwrite").json(marker)
-    return first
+        return kept["name"]
+    name = uuid.uuid4().hex
+    spark.range(1).select(F.lit(name).alias("name")).write.mode("overwrite").json(marker)
+    return name

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import entities
+
 from docweave.functions import html as H
 from docweave.functions import text as X
 from docweave.functions import urls as U
@@ -42,22 +44,22 @@ def notags(html: str) -> str:
     return sub(html, H.TAG, " ")
 
 
-ENTITY_MAP = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in H.entity_table().items()) + "}"
+ENTITY_MAP = "MAP {" + ", ".join(f"{lit(k[:-1])}: {lit(v)}" for k, v in entities.html5.items() if k.endswith(";")) + "}"
+OLD = sorted((k for k in entities.html5 if not k.endswith(";")), key=len, reverse=True)
+OLD_MAP = "MAP {" + ", ".join(f"{lit(k)}: {lit(entities.html5[k])}" for k in OLD) + "}"
+WINDOWS = "MAP {" + ", ".join(f"{n}: {lit(c)}" for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))) + "}"
 
 
 def decode(text: str) -> str:
     """Character references in one pass over the pieces between ampersands."""
-    name = f"regexp_extract(p, {lit(H.ENTITY)}, 1)"
-    number = (
-        f"CASE WHEN starts_with(lower({name}), '#x') THEN TRY_CAST('0x' || substr({name}, 3) AS INTEGER) "
-        f"WHEN starts_with({name}, '#') THEN TRY_CAST(substr({name}, 2) AS INTEGER) END"
-    )
-    char = (
-        f"coalesce({ENTITY_MAP}[{name}], "
-        f"CASE WHEN ({number}) > 0 AND ({number}) < 1114112 AND ({number}) NOT BETWEEN 55296 AND 57343 "
-        f"THEN chr({number}) END)"
+    name, number = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)", "regexp_extract(p, '^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?', 1)"
+    width, old = "length(regexp_extract(p, '^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?', 0))", f"regexp_extract(p, {lit('^(' + '|'.join(OLD) + ')')}, 1)"
+    code = f"CASE WHEN starts_with(lower({number}), 'x') THEN TRY_CAST('0' || {number} AS INTEGER) ELSE TRY_CAST(nullif({number}, '') AS INTEGER) END"
+    char = f"coalesce({WINDOWS}[{code}], CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) END)"
+    piece = (
+        f"CASE WHEN i = 1 THEN p ELSE coalesce({ENTITY_MAP}[{name}] || substr(p, length({name}) + 2), {char} || substr(p, {width} + 1), "
+        f"{OLD_MAP}[{old}] || substr(p, length({old}) + 1), '&' || p) END"
     )
-    piece = f"CASE WHEN i = 1 THEN p ELSE coalesce({char} || substr(p, length({name}) + 2), '&' || p) END"
     listed = f"list_transform(string_split({text}, '&'), lambda p, i: {piece})"
     return f"CASE WHEN contains({text}, '&') THEN array_to_string({listed}, '') ELSE {text} END"
 
@@ -88,7 +90,12 @@ NOISELESS = f"noiseless AS (SELECT page_id, url, html, {quiet()} AS q FROM pages
 MAIN = f"""{NOISELESS},
 core AS (SELECT *, {sub("q", H.chrome_pattern(H.CHROME_IN_MAIN), " ")} AS core FROM noiseless),
 boxed AS (SELECT *, {block("core", "article")} AS a, {block("core", "main")} AS m FROM core),
-raw_main AS (SELECT page_id, url, html, q, {notags("CASE WHEN a <> '' THEN a WHEN m <> '' THEN m ELSE core END")} AS stripped FROM boxed),
+sized AS (SELECT *, list_transform(regexp_split_to_array(regexp_replace(core, '(?is)^.*<body[^>]*>', ''), '(?i)</?(?:div|section|table|td|body|html|head)(?:[^a-zA-Z0-9_>][^>]*)?>'),
+  lambda x: struct_pack(n := length({collapse(notags("x"))}), h := x)) AS blocks FROM boxed),
+fair AS (SELECT *, list_filter(blocks, lambda x: 4 * x.n >= list_max(list_transform(blocks, lambda y: y.n))) AS kept FROM sized),
+picked AS (SELECT *, list_transform(CASE WHEN 100 * list_sum(list_transform(kept, lambda x: x.n)) >= 80 * list_sum(list_transform(blocks, lambda x: x.n))
+  THEN kept ELSE blocks END, lambda x: x.h) AS chosen FROM fair),
+raw_main AS (SELECT page_id, url, html, q, {notags("CASE WHEN a <> '' THEN a WHEN m <> '' THEN m ELSE array_to_string(chosen, ' ') END")} AS stripped FROM picked),
 mains AS (SELECT page_id, url, html, q, {collapse(decode("stripped"))} AS main_text FROM raw_main)"""
 WHOLE = f"""wholes AS (SELECT page_id, {collapse(decode("w"))} AS page_text FROM
   (SELECT page_id, {notags(sub("q", H.chrome_pattern(H.CHROME_IN_PAGE), " "))} AS w FROM noiseless))"""
@@ -112,11 +119,16 @@ docs AS (SELECT md5(url) AS doc_id, url, title,
   length(html) AS content_length
   FROM mains JOIN wholes USING (page_id) JOIN titles USING (page_id))"""
 
-HREF_RAW = f"regexp_replace(regexp_extract(tag, {lit(H.ANCHOR_HREF)}, 1), '^[\"'']|[\"'']$', '', 'g')"
+# Own patterns here, so that a wrong one in the package shows.
+GAP = "[ \\t\\r\\n\\f]"
+OPENING = f"(?is)^<a{GAP}(?:[^>]*?{GAP})?href{GAP}*={GAP}*(\"[^\"]*\"|'[^']*'|[^ \\t\\r\\n\\f>]+)[^>]*>"
+INSIDE = f"regexp_replace(regexp_replace(tag, {lit(OPENING)}, ''), '(?is)</a{GAP}*>.*$', '')"
 LINKS = f"""{NOISELESS},
-tags AS (SELECT url AS src_url, unnest(regexp_extract_all(q, {lit(H.ANCHOR)}, 0)) AS tag,
-  generate_subscripts(regexp_extract_all(q, {lit(H.ANCHOR)}, 0), 1) - 1 AS pos FROM noiseless),
-parts AS (SELECT src_url, pos, {HREF_RAW} AS rawhref, {sub("tag", H.TAG, "")} AS inside FROM tags),
+cuts AS (SELECT url AS src_url, list_filter(string_split(regexp_replace(q, '(?i)<a({GAP})', chr(1) || '<a\\1', 'g'), chr(1)),
+  lambda x: regexp_matches(x, {lit(OPENING)})) AS pieces FROM noiseless),
+tags AS (SELECT src_url, unnest(pieces) AS tag, generate_subscripts(pieces, 1) - 1 AS pos FROM cuts),
+parts AS (SELECT src_url, pos, trim(regexp_extract(tag, {lit(OPENING)}, 1), {lit("\"'")}) AS rawhref,
+  {sub(INSIDE, "(?s)<[a-zA-Z/!?][^>]*>", "")} AS inside FROM tags),
 anchored AS (SELECT src_url, pos, trim({decode("rawhref")}, ' ') AS href, lower({collapse(decode("inside"))}) AS anchor FROM parts),
 based AS (SELECT *, {ext("src_url", U.SCHEME)} AS bscheme, {ext("src_url", U.ORIGIN)} AS origin, {ext("src_url", U.PATH)} AS bpath,
   {ext("src_url", "^([^#]*)")} AS page, {ext("href", "^([^?#]*)")} AS hpath, {ext("href", "^[^?#]*(.*)$")} AS tail FROM anchored),
@@ -333,6 +345,8 @@ FROM (SELECT *, unnest(json_keys(props)) AS name FROM events)"""
 
 ORACLES["doc_id"] = "SELECT url, md5(url) AS doc_id FROM pages"
 ORACLES["extract_main"] = f"WITH {MAIN} SELECT page_id, main_text FROM mains"
+BARE_PAGES = "pages AS (SELECT page_id, url, regexp_replace(html, '(?i)</?(article|main)[^>]*>', '', 'g') AS html FROM main.pages)"
+ORACLES["extract_without_article"] = f"WITH {BARE_PAGES}, {MAIN} SELECT page_id, main_text FROM mains"
 ORACLES["extract_fallback"] = f"WITH {NOISELESS}, {WHOLE} SELECT page_id, page_text, {clip('page_text', 200)} AS short_description FROM wholes"
 ORACLES["clean_title"] = f"WITH {NOISELESS}, {TITLES} SELECT page_id, title FROM titles"
 ORACLES["clean_text"] = f"SELECT doc_id, {clean('text')} AS cleaned FROM documents"
@@ -499,6 +513,10 @@ ORACLES["upsert_documents"] = """SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN
 ORACLES["latest_by_text"] = """SELECT md5(text) AS content_id, doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) = 1"""
 ORACLES["rebuild_index"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_docs")}, {hashed("v", "chunks", "chunk_id", "content", 64)}
 SELECT k AS chunk_id, dim, round(v, 6) AS value FROM v"""
+ORACLES["reingest_latest"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_docs")},
+counted AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id)
+SELECT doc_id, d.url, md5(CASE WHEN page_id % 3 = 1 THEN regexp_replace(html, '(?i)<body', {lit("<body data-again='1'")}, 'g') ELSE html END) AS html_md5,
+  coalesce(n, 0) AS n_chunks FROM docs d JOIN pages p ON p.url = d.url LEFT JOIN counted ON document_id = doc_id"""
 ORACLES["incremental_ingest"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_docs")} SELECT chunk_id, url AS document_url, chunk_index, total_chunks, c.content
 FROM chunks c JOIN docs ON doc_id = document_id"""
 ORACLES["runlog_rollup"] = """SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS window_start, event_type AS operation, count(*) AS n

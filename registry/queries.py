@@ -196,6 +196,27 @@ def extract_main(spark, d):
     return E.with_main_text(pages_of(spark, d)).select("page_id", "main_text")
 
 
+@query("extract_without_article")
+def extract_without_article(spark, d):
+    """The main text of pages whose article and main tags were taken away."""
+    bare = pages_of(spark, d).withColumn("html", F.regexp_replace("html", r"(?i)</?(article|main)[^>]*>", ""))
+    return E.with_main_text(bare).select("page_id", "main_text")
+
+
+@query("reingest_latest")
+def reingest_latest(spark, d):
+    """Pages stored in three segments, a third of them ingested again with other html: the corpus as read back."""
+    pages = pages_of(spark, d)
+    store = CorpusStore(spark, fresh_path(spark, "store"))
+    changed = pages.where("page_id % 3 = 1").withColumn("html", F.regexp_replace("html", "(?i)<body", "<body data-again='1'"))
+    parts = [pages.where("page_id % 3 = 0"), pages.where("page_id % 3 > 0"), changed]
+    for part in parts:
+        store.write(relevant_documents(part, PLAIN), lambda stored: embedded_chunks(stored, PLAIN))
+    counts = store.chunks().groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_chunks"))
+    documents = store.documents().select("doc_id", "url", F.md5("raw_html").alias("html_md5"))
+    return documents.join(counts, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+
+
 @query("extract_fallback")
 def extract_fallback(spark, d):
     rows = E.with_page_text(pages_of(spark, d))

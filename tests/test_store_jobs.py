@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docweave import DocumentEngine, Settings
 from docweave.operators import metrics as M
 from docweave.operators.upsert import latest, replace_chunks, upsert_documents
+from docweave.schemas import CHUNKS, DOCUMENTS
 from docweave.sources import pages as SP
 from docweave.sources import questions as SQ
 from docweave.sources import runlog as SR
@@ -132,6 +133,49 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
     assert len(store.commits()) == 3 and key(store) == key(engine.store)
 
 
+def arrive(spark, folder, *rows):
+    table(spark, list(rows)).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.mark.parametrize("between", ["compact", "ingest", "rebuild", "clear", "nothing"])
+def test_other_writers_between_two_runs_of_a_stream(spark, tmp_path, between):
+    folder, root, state = f"{tmp_path}/in", f"file://{tmp_path}/store", f"file://{tmp_path}/state"
+    engine = DocumentEngine(spark, root)
+    run = lambda: ingest_stream(page_stream(spark, folder, 1), CorpusStore(spark, root), state).awaitTermination()
+    urls = lambda: sorted(r["url"] for r in CorpusStore(spark, root).documents().collect())
+    arrive(spark, folder, (1, "http://x/1", html("one")), (2, "http://x/2", html("two")))
+    run()
+    if between == "ingest":
+        engine.ingest(table(spark, [(9, "http://x/9", html("nine"))]))
+    elif between != "nothing":
+        getattr(engine.store, between)()
+    arrive(spark, folder, (3, "http://x/3", html("three")))
+    run()
+    kept = [] if between == "clear" else ["http://x/1", "http://x/2"]
+    wanted = [*kept, "http://x/3", *(["http://x/9"] if between == "ingest" else [])]
+    assert urls() == wanted
+    segments = [batch for batch, _ in CorpusStore(spark, root).commits()]
+    assert len(segments) == len(set(segments))
+    run()
+    assert urls() == wanted
+
+
+def test_a_replayed_stream_batch_is_skipped(spark, tmp_path):
+    store = CorpusStore(spark, f"file://{tmp_path}/store")
+    documents, chunks = spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS)
+    assert store.write(documents, chunks, owner="s:0") == 0 and store.committed_by("s:0") and not store.committed_by("s:1")
+    with pytest.raises(ValueError):
+        store.write(documents, chunks, batch=0)
+    assert store.write(documents, chunks, full=True) == 1
+
+
+def test_a_read_error_is_no_empty_store(spark, tmp_path):
+    store = CorpusStore(spark, "nosuchscheme://host/store")
+    with pytest.raises(Exception):
+        store.commits()
+    assert CorpusStore(spark, f"file://{tmp_path}/none").commits() == []
+
+
 def test_latest_page_of_a_url(spark):
     # one URL holds most of the table, and its newest copy occurs twice
     rows = [(i, "http://x/hot", f"v{i}") for i in range(30)] + [(29, "http://x/hot", "v29"), (40, "http://x/b", "b"), (1, "http://x/c", None)]

@@ -8,6 +8,7 @@ from docweave.functions import html as H
 from docweave.functions import text as X
 from docweave.functions import urls as U
 from docweave.config import RelevanceSettings, Settings
+from docweave.operators import extract as E
 from docweave.operators.extract import build_documents
 
 C = F.col
@@ -178,3 +179,45 @@ def test_settings_merge_deeply():
     assert changed.crawl.max_depth == 2 and changed.crawl.max_pages == 150
     with pytest.raises(KeyError):
         Settings().override({"crawl": {"nope": 1}})
+
+
+@pytest.mark.parametrize(
+    "raw, wanted",
+    [
+        ("&rarr; &alpha; &AMP; &check;", "→ α & ✓"),
+        ("&copy 2020 &notit; &ampx", "© 2020 ¬it; &x"),
+        ("&#150; &#x92; &#8364 &#0; &#xD800;", "– ’ € &#0; &#xD800;"),
+        ("&unknown; & &; &#; a&b", "&unknown; & &; &#; a&b"),
+        ("&amp;lt;", "&lt;"),
+    ],
+)
+def test_character_references(one, raw, wanted):
+    assert one(H.decode_entities(C("t")), t=raw) == wanted
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<a href=/x>one <a href=/y>two</a>", [("/x", "one"), ("/y", "two")]),
+        ("<a href='/x'>One</a> between <a name=q>no link</a> <A HREF=/z>last", [("/x", "one"), ("/z", "last")]),
+        ("<a href=/x><b>Bold</b> text</a> rest", [("/x", "bold text")]),
+        ("<abbr href=/n>no</abbr>", []),
+    ],
+)
+def test_anchors(one, page, wanted):
+    assert [(a["href"], a["anchor"]) for a in one(H.anchors(C("t")), t=page)] == wanted
+
+
+@pytest.mark.parametrize(
+    "body, wanted",
+    [
+        ("<p>Alpha text one.</p><div>short</div><p>tail of the page</p>", "Alpha text one. short tail of the page"),
+        ("<div><p>First paragraph of it.</p></div><div><p>Second paragraph of it.</p></div><div>Ad</div>", "First paragraph of it. Second paragraph of it."),
+        ("<div><div><div>Nested text only</div></div></div>", "Nested text only"),
+        ("<table><tr><td>cell one text</td><td>cell two text</td></tr></table>", "cell one text cell two text"),
+    ],
+)
+def test_main_text_without_article(spark, body, wanted):
+    page = f"<html><head><title>t</title></head><body>{body}</body></html>"
+    pages = spark.createDataFrame([(1, "http://x/a", page)], "page_id long, url string, html string")
+    assert E.with_main_text(pages).first()["main_text"] == wanted
