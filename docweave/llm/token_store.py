@@ -51,16 +51,17 @@ class Encoder:
 
     Such a vocabulary never merges across the start of a blank-led word, nor between letters and the
     full stop, comma or single line break after them, so a text's ids are those of its pieces in
-    order. Ids of pieces are remembered in two generations of ``CACHE_PIECES``; only new ones go
+    order. Ids of pieces are remembered in two generations of ``most`` pieces; only new ones go
     through the tokenizer.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most: int = CACHE_PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -69,14 +70,15 @@ class Encoder:
         self.bare: dict[str, bytes] = {}  # without a blank
 
     @staticmethod
-    def of(vocabulary: str) -> Encoder:
+    def of(vocabulary: str, most: int) -> Encoder:
         """The encoder of this process: Python workers serve many tasks."""
         import tokenizers
 
         kept = vars(tokenizers).setdefault("docweave_encoders", {})
-        if vocabulary not in kept:
-            kept[vocabulary] = Encoder(vocabulary)
-        return kept[vocabulary]
+        if (vocabulary, most) not in kept:
+            kept.clear()
+            kept[vocabulary, most] = Encoder(vocabulary, most)
+        return kept[vocabulary, most]
 
     def pieces(self, text: str) -> list[str]:
         """The first piece, then the blank-led ones without their blank."""
@@ -99,7 +101,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Adds blank-led pieces: words with marks by their units, anything else whole."""
         known, bare, unit, whole = self.known, self.bare, self._unit, []
-        if len(bare) > CACHE_PIECES:
+        if len(bare) > self.most:
             bare.clear()
         for piece in new:
             match = _MARKED.fullmatch(piece)
@@ -122,7 +124,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
         for piece in set().union(*(p[1:] for p in split)):
@@ -234,7 +236,13 @@ class FrameReader:
 
 
 def write_tokens(
-    docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME_IDS
+    docs: DataFrame,
+    vocabulary: str,
+    folder: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    frame_ids: int = FRAME_IDS,
+    cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """Writes ``docs`` as token files, ascending by id, and returns the manifest.
 
@@ -243,6 +251,7 @@ def write_tokens(
     of tasks that succeeded are named. Rows are dealt by ranges of (id, text hash), so repeated ids
     spread as well. Null texts count as empty (just the end id); null ids come first; an empty table
     writes no file; other columns are not read. ``folder`` must be reachable by all executors.
+    ``cache_pieces`` bounds what a Python worker remembers, about 200 bytes a piece, twice.
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -265,7 +274,7 @@ def write_tokens(
                 if writer is None and batch.num_rows:
                     place.create_dir(root, recursive=True)
                     out = place.open_output_stream(f"{root}/{path}", compression=None)
-                    writer, encoder = FrameWriter(out, frame_ids), Encoder.of(vocabulary)
+                    writer, encoder = FrameWriter(out, frame_ids), Encoder.of(vocabulary, cache_pieces)
                 if writer is not None:
                     for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch)), strict=True):
                         writer.add(doc_id, ids)
