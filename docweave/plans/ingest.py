@@ -33,6 +33,12 @@ class IngestReport:
     average_scraping_time: float
     error_count: int
     batch: int
+    crawl_time: float = 0.0
+    extraction_time: float = 0.0
+    # chunking, embedding and indexing are one pass over the stored documents
+    embedding_time: float = 0.0
+    # True if the traversal stopped at its page budget, so that URLs may be left
+    budget_hit: bool = False
 
 
 def relevant_documents(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -69,11 +75,12 @@ def reached_log(reached: DataFrame, pages: DataFrame) -> DataFrame:
     sizes = pages.select(
         "url", "page_id", F.length("html").alias("content_length"),
         (F.col("response_time") if "response_time" in pages.columns else F.lit(None)).cast("double").alias("response_time"),
+        (F.col("error_message") if "error_message" in pages.columns else F.lit(None)).cast("string").alias("_error"),
     )
     return reached.join(sizes, ["url", "page_id"], "left").select(
         "url",
         "status",
-        F.when(F.col("status") == "failed", F.lit("page not available")).alias("error_message"),
+        F.when(F.col("status") == "failed", F.coalesce("_error", F.lit("page not available"))).alias("error_message"),
         "response_time",
         "content_length",
     )
@@ -93,19 +100,25 @@ def ingest(
     read again; counters are observed while the tables are written.
     """
     begin = time.monotonic()
+    budget_hit = False
     if seeds is None:
         chosen = latest_pages(pages)
         log = fetch_log(pages)
     else:
         reached = cut_lineage(crawl(pages, seeds, settings))
         chosen, log = crawled_pages(pages, reached), reached_log(reached, pages)
+        budget_hit = reached.count() >= settings.crawl.max_pages
     words, made = Observation("words"), Observation("chunks")
+    crawled = extracted = time.monotonic()
+
+    def chunks_of(stored: DataFrame) -> DataFrame:
+        nonlocal extracted
+        extracted = time.monotonic()
+        return embedded_chunks(stored, settings, embed).observe(made, F.count("*").alias("n"))
+
     documents = relevant_documents(chosen, settings).observe(words, F.sum(word_count(F.col("content"))).alias("n"))
-    number = store.write(
-        documents,
-        lambda stored: embedded_chunks(stored, settings, embed).observe(made, F.count("*").alias("n")),
-        batch,
-    )
+    number = store.write(documents, chunks_of, batch)
+    stored_at = time.monotonic()
     store.save_figures()
     store.write_fetch_log(log, number)
     figures = crawl_metrics(store.fetch_log(number)).first()
@@ -118,4 +131,8 @@ def ingest(
         average_scraping_time=figures["average_response_time"],
         error_count=figures["error_count"],
         batch=number,
+        crawl_time=crawled - begin,
+        extraction_time=extracted - crawled,
+        embedding_time=stored_at - extracted,
+        budget_hit=budget_hit,
     )

@@ -21,7 +21,7 @@ from docweave.functions.vectors import normalise
 from docweave.operators.metrics import crawl_report, index_stats, system_stats
 from docweave.operators.search import corpus_statistics, term_statistics
 from docweave.schemas import CHUNKS, DOCUMENTS, FETCH_LOG
-from docweave.session import bounded, is_missing
+from docweave.session import bounded, cut_lineage, is_missing
 
 COMMITS = T.StructType(
     [
@@ -37,6 +37,7 @@ _BATCH = T.StructField("batch", T.LongType())
 class CorpusStore:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
+        self._stale: tuple[tuple[int, ...], DataFrame] | None = None
 
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
@@ -79,23 +80,30 @@ class CorpusStore:
         return self.spark.read.option("basePath", self._path(table)).schema(with_batch).parquet(*paths)
 
     def _current(self, table: str, schema: T.StructType, key: str) -> DataFrame:
-        """Rows of each document's latest segment.
-
-        Only superseded (document, segment) pairs are looked for. They are usually few and
-        then broadcast, which leaves the corpus unshuffled.
-        """
+        """Rows of each document's latest segment."""
         batches = self._visible()
         rows = self._segments(table, schema, batches)
         if len(batches) <= 1:
             return rows.drop("batch")
-        stale = (
-            self._segments("documents", DOCUMENTS, batches)
-            .groupBy(F.col("doc_id").alias(key))
-            .agg(F.array_sort(F.collect_set("batch")).alias("_batches"))
-            .where(F.size("_batches") > 1)
-            .select(key, F.explode(F.slice("_batches", F.lit(1), F.size("_batches") - 1)).alias("batch"))
-        )
-        return rows.join(bounded(stale), [key, "batch"], "left_anti").drop("batch")
+        stale = self._superseded(batches).withColumnRenamed("_doc", key)
+        return rows.join(stale, [key, "batch"], "left_anti").drop("batch")
+
+    def _superseded(self, batches: list[int]) -> DataFrame:
+        """``_doc, batch``: copies of documents that a later segment replaced.
+
+        They are worked out once for a set of committed segments, as those never change. Usually
+        they are few and then broadcast, which leaves the corpus unshuffled.
+        """
+        if self._stale is None or self._stale[0] != tuple(batches):
+            stale = (
+                self._segments("documents", DOCUMENTS, batches)
+                .groupBy(F.col("doc_id").alias("_doc"))
+                .agg(F.array_sort(F.collect_set("batch")).alias("_batches"))
+                .where(F.size("_batches") > 1)
+                .select("_doc", F.explode(F.slice("_batches", F.lit(1), F.size("_batches") - 1)).alias("batch"))
+            )
+            self._stale = (tuple(batches), bounded(cut_lineage(stale)))
+        return self._stale[1]
 
     def documents(self) -> DataFrame:
         return self._current("documents", DOCUMENTS, "doc_id")

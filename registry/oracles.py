@@ -331,7 +331,7 @@ ORACLES["question_source"] = f"WITH {QUESTION_LINES} SELECT * FROM question_line
 FILE_NAME = f"translate({host('url')} || {ext('url', U.PATH)}, '/\\', '__')"
 NAMED = f"SELECT md5(url) AS doc_id, {host('url')} AS host, CASE WHEN ends_with({FILE_NAME}, '.html') THEN {FILE_NAME} ELSE {FILE_NAME} || '.html' END AS file_name"
 ORACLES["raw_page_name"] = f"{NAMED}, url FROM pages"
-ORACLES["raw_page_sink"] = f"{NAMED}, length(html) AS n_chars FROM pages"
+ORACLES["raw_page_sink"] = f"{NAMED}, length(html) AS n_chars, md5(html) AS html_md5 FROM pages"
 ORACLES["crawl_report"] = f"""WITH {fetch_log('pages')} SELECT status AS section, url AS name, content_length::VARCHAR AS value FROM fetches
 UNION ALL SELECT * FROM (VALUES ('config', 'max_depth', '5'), ('config', 'max_pages', '150'), ('config', 'allowed_domains', ''))
 UNION ALL SELECT 'total', 'total_urls_attempted', count(*)::VARCHAR FROM fetches

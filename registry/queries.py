@@ -139,7 +139,7 @@ def raw_page_sink(spark, d):
     """Raw pages written and read back."""
     path = fresh_path(spark, "raw")
     SP.write_raw_pages(pages_of(spark, d), path)
-    return spark.read.parquet(path).select("doc_id", "host", "file_name", F.length("html").alias("n_chars"))
+    return spark.read.parquet(path).select("doc_id", "host", "file_name", F.length("html").alias("n_chars"), F.md5("html").alias("html_md5"))
 
 
 @query("crawl_report")

@@ -53,6 +53,9 @@ def test_engine_end_to_end(spark, engine, tmp_path):
     answers, summary = engine.batch(["apple", "banana"])
     assert [r["question_id"] for r in answers.collect()] == [0, 1]
     assert summary.first()["successful_questions"] == 2 and summary.first()["total_processing_time"] > 0
+    given = spark.createDataFrame([("10", "apple"), ("2", "banana"), ("x", "apple")], "question_id string, question string").coalesce(1)
+    assert [r["question_id"] for r in engine.batch(given)[0].collect()] == ["10", "2", "x"]
+    assert report.extraction_time > 0 and report.embedding_time > 0 and not report.budget_hit
     engine.store.write_crawl_report(f"file://{tmp_path}/report")
     report_rows = {(r["section"], r["name"]): r["value"] for r in spark.read.json(f"file://{tmp_path}/report").collect()}
     assert report_rows["total", "failed_crawls"] == "1" and report_rows["config", "max_pages"] == "150"
