@@ -88,12 +88,13 @@ class _Groups:
             np.minimum.at(self.parent, a, b)
 
 
-def link_sorted(bucket: np.ndarray, bits: np.ndarray, distance: int = DISTANCE, fan: int = FAN, block: int = 4096) -> np.ndarray:
+def link_sorted(bucket: np.ndarray, bits: np.ndarray, distance: int = DISTANCE, fan: int = FAN, most_pairs: int = 1 << 20) -> np.ndarray:
     """The group (index of its first member) of each fingerprint, by links within its bucket.
 
     ``bucket`` and ``bits`` are sorted by bucket and then Gray rank. Fingerprints are searched a
-    block at a time; a node whose members are all in the searcher's group already is dropped too,
-    which keeps dense groups from being compared pair by pair.
+    block at a time, of as many as could meet ``most_pairs`` others at worst; a node whose members
+    are all in the searcher's group already is dropped too, which keeps dense groups from being
+    compared pair by pair.
     """
     n, groups = len(bits), _Groups(len(bits))
     if n < 2:
@@ -122,14 +123,17 @@ def link_sorted(bucket: np.ndarray, bits: np.ndarray, distance: int = DISTANCE,
     askers = np.concatenate([np.arange(runs[w], runs[w] + sizes[w]) for w in wide]) if len(wide) else np.empty(0, int)
     root_of = np.searchsorted(runs, np.arange(n), "right") - 1  # a bucket's node on the top level
     assert len(top) == len(runs)
-    for start in range(0, len(askers), block):
+    reach = np.cumsum(sizes[root_of[askers]])
+    cuts = np.searchsorted(reach, np.arange(0, int(reach[-1]) if len(reach) else 0, most_pairs), "right")
+    cuts = np.unique(np.r_[0, cuts, len(askers)])
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
         root = groups.settle()
         # members' least and greatest group, per level: equal if a node is of one group
         spans, lo, hi = [], root, root
         for first, _, _, _, _ in levels:
             lo, hi = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
             spans.append((lo, hi))
-        who = askers[start : start + block]
+        who = askers[start:stop]
         node = root_of[who]
         for depth in range(len(levels) - 1, -1, -1):
             first, end, low, mask, _ = levels[depth]
