@@ -28,6 +28,9 @@ HIT_BLOCK_ROWS = 32_768
 WIDE_CORPUS_BYTES = 1 << 40
 BROADCAST_TERMS = 1_000_000
 
+#: Up to so many hit chunks are looked up by literal keys.
+FEW_KEYS = 500
+
 
 def _matrix(ids: pa.Array, lists: pa.Array, dimension: int) -> tuple[pa.Array, np.ndarray]:
     """Ids and vectors of the rows whose vector has the right length."""
@@ -326,6 +329,12 @@ def _reordered(scored: DataFrame, cap: int) -> DataFrame:
     )
 
 
+def few_keys(found: DataFrame, column: str) -> list[str] | None:
+    """The distinct keys if they are few: as literals they reach the file scan, which then skips row groups."""
+    rows = found.select(column).distinct().limit(FEW_KEYS + 1).collect()
+    return None if len(rows) > FEW_KEYS else [row[0] for row in rows]
+
+
 def embed_questions(questions: DataFrame, settings: Settings = Settings(), embed=V.token_hash) -> DataFrame:
     """``(question_id, question, embedding)``; blank questions are left out."""
     return (
@@ -367,10 +376,13 @@ def retrieve(
     found = cut_lineage(nearest(questions, chunks, pool, settings.embed.metric, settings.embed.dimension))
     hits = bounded(found)
     # text is read, and split into tokens, once per chunk that is hit at all
-    wanted_ids = bounded(found.select("chunk_id").distinct())
-    details = chunks.select("chunk_id", "document_id", "content", "document_title", "document_url").join(
-        wanted_ids, "chunk_id", "left_semi"
-    )
+    keys = few_keys(found, "chunk_id")
+    wanted_ids = bounded(found.select("chunk_id").distinct()) if keys is None else None
+
+    def hit(rows: DataFrame) -> DataFrame:
+        return rows.join(wanted_ids, "chunk_id", "left_semi") if keys is None else rows.where(F.col("chunk_id").isin(keys))
+
+    details = hit(chunks.select("chunk_id", "document_id", "content", "document_title", "document_url"))
     if cfg.rerank and scorer is None:
         details = with_tokens(details)
     candidates = details.join(hits, "chunk_id")
@@ -388,7 +400,7 @@ def retrieve(
     if documents is None:
         attached = cut.select("*", *(F.lit(None).cast("string").alias(name) for _, name in described))
     else:
-        ids = chunks.select("chunk_id", "document_id").join(wanted_ids, "chunk_id", "left_semi")
+        ids = hit(chunks.select("chunk_id", "document_id"))
         side = documents.select(
             F.col("doc_id").alias("document_id"),
             *(

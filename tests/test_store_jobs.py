@@ -66,6 +66,14 @@ def test_engine_end_to_end(spark, engine, tmp_path):
         engine.query([])
 
 
+def test_hit_text_is_read_by_key(spark, engine):
+    engine.ingest(table(spark, [(i, f"http://x/{i}", html(f"word{i}")) for i in range(6)]))
+    plan = engine.retrieve(["word3 text"])._jdf.queryExecution().optimizedPlan().toString()
+    physical = engine.retrieve(["word3 text"])._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in physical.splitlines() if "Scan parquet" in line and "content:string" in line and "PushedFilters" in line]
+    assert scans and any("chunk_id" in line.split("PushedFilters")[1] for line in scans), plan
+
+
 def test_ingest_from_seeds_uses_all_of_them(spark, engine):
     pages = table(
         spark,
