@@ -17,6 +17,7 @@ class CrawlSettings:
     max_pages: int = 150
     allowed_domains: tuple[str, ...] = ()
     domain_suffix_match: bool = False
+    # The path parts that mark a primary page unless others are given
     primary_path_filters: tuple[str, ...] = ("/products/", "/solutions/")
     max_primary_pages: int = 10
     max_child_links: int = 5
