@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import BinaryIO
 
 import numpy as np
@@ -127,7 +128,7 @@ class Encoder:
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for piece in set().union(*(p[1:] for p in split)):
+        for piece in set().union(*split):
             if piece not in known:
                 if (ids := older.get(piece)) is None:
                     new.append(piece)
@@ -135,7 +136,7 @@ class Encoder:
                     known[piece] = ids
         self._learn(new)
         firsts, end, of = self._ids([p[0] for p in split]), struct.pack("<I", END_ID), known.__getitem__
-        return [b"".join([first, *map(of, p[1:]), end]) for first, p in zip(firsts, split, strict=True)]
+        return [b"".join([first, *map(of, islice(p, 1, None)), end]) for first, p in zip(firsts, split, strict=True)]
 
 
 class FrameWriter:
