@@ -54,6 +54,8 @@ def test_disguised_words_score_like_plain_ones(spark, letters):
     rows = {r["doc_id"]: r for r in toxicity.score_texts(frame(spark, texts), model).collect()}
     assert all(rows[i]["score"] > 0.8 for i in range(3)) and all(rows[i]["score"] < 0.1 for i in range(3, 7))
     assert rows[1]["restored"] == ["idiot"]
+    kept = toxicity.rows_below(frame(spark, texts), model, 0.5)
+    assert kept.columns == frame(spark, texts).columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
     assert toxicity.score_texts(frame(spark, []), model).count() == 0
 
 
