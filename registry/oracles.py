@@ -90,12 +90,12 @@ NOISELESS = f"noiseless AS (SELECT page_id, url, html, {quiet()} AS q FROM pages
 MAIN = f"""{NOISELESS},
 core AS (SELECT *, {sub("q", H.chrome_pattern(H.CHROME_IN_MAIN), " ")} AS core FROM noiseless),
 boxed AS (SELECT *, {block("core", "article")} AS a, {block("core", "main")} AS m FROM core),
-sized AS (SELECT *, list_transform(regexp_split_to_array(regexp_replace(core, '(?is)^.*<body[^>]*>', ''), '(?i)</?(?:div|section|table|td|body|html|head)(?:[^a-zA-Z0-9_>][^>]*)?>'),
+block_sized AS (SELECT *, list_transform(regexp_split_to_array(regexp_replace(core, '(?is)^.*<body[^>]*>', ''), '(?i)</?(?:div|section|table|td|body|html|head)(?:[^a-zA-Z0-9_>][^>]*)?>'),
   lambda x: struct_pack(n := length({collapse(notags("x"))}), h := x)) AS blocks FROM boxed),
-fair AS (SELECT *, list_filter(blocks, lambda x: 4 * x.n >= list_max(list_transform(blocks, lambda y: y.n))) AS kept FROM sized),
-picked AS (SELECT *, list_transform(CASE WHEN 100 * list_sum(list_transform(kept, lambda x: x.n)) >= 80 * list_sum(list_transform(blocks, lambda x: x.n))
-  THEN kept ELSE blocks END, lambda x: x.h) AS chosen FROM fair),
-raw_main AS (SELECT page_id, url, html, q, {notags("CASE WHEN a <> '' THEN a WHEN m <> '' THEN m ELSE array_to_string(chosen, ' ') END")} AS stripped FROM picked),
+block_fair AS (SELECT *, list_filter(blocks, lambda x: 4 * x.n >= list_max(list_transform(blocks, lambda y: y.n))) AS kept FROM block_sized),
+block_picked AS (SELECT *, list_transform(CASE WHEN 100 * list_sum(list_transform(kept, lambda x: x.n)) >= 80 * list_sum(list_transform(blocks, lambda x: x.n))
+  THEN kept ELSE blocks END, lambda x: x.h) AS chosen FROM block_fair),
+raw_main AS (SELECT page_id, url, html, q, {notags("CASE WHEN a <> '' THEN a WHEN m <> '' THEN m ELSE array_to_string(chosen, ' ') END")} AS stripped FROM block_picked),
 mains AS (SELECT page_id, url, html, q, {collapse(decode("stripped"))} AS main_text FROM raw_main)"""
 WHOLE = f"""wholes AS (SELECT page_id, {collapse(decode("w"))} AS page_text FROM
   (SELECT page_id, {notags(sub("q", H.chrome_pattern(H.CHROME_IN_PAGE), " "))} AS w FROM noiseless))"""
