@@ -120,7 +120,7 @@ def op7_quality_model(spark, d):
 @query
 def op6_decontaminate(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    rows = decontaminate.marked(docs, table(spark, d, "benchmark"))
+    rows = decontaminate.marked(docs, table(spark, d, "benchmark"), as_sql=True)
     ids = F.array_join(F.transform("items", lambda i: i.cast("string")), ",")
     return rows.select("doc_id", F.size("items").cast("long").alias("n_items"), ids.alias("items"), (F.size("items") > 0).alias("leaked"))
 

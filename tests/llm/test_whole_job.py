@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docweave.llm import near_copies
+from docweave.llm import decontaminate, near_copies
 
 DOCS = "doc_id long, text string, source string"
 
@@ -49,3 +49,30 @@ def test_each_group_keeps_one_row(spark):
     rows = [(None, text(1), "a"), (None, text(2), "a"), (None, text(2), "a"), (1, text(3), "a"), (7, text(3) + " end", "a"), (7, text(4), "a"), (None, text(3), "a")]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, text(1)), (0, text(2)), (1, text(3)), (7, text(4))])
+
+
+ITEM = "If Bob has 12 apples and gives 5 apples to Carol how many apples does Bob keep in his own basket"
+
+
+def leaked(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.marked(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {r["doc_id"]: r["items"] for r in rows}
+
+
+def test_leaks_in_capitals(spark):
+    title = "Some Words. " + ITEM.title() + " and more"
+    texts = ["SOME WORDS. " + ITEM.upper() + " AND MORE", title, "some words, " + ITEM.lower(), "SOME OTHER WORDS " * 9]
+    assert leaked(spark, texts, [(1, ITEM)]) == {0: [1], 1: [1], 2: [1], 3: []}
+    assert leaked(spark, ["so: " + ITEM, ITEM.upper(), None], [(1, ITEM.upper())]) == {0: [1], 1: [1], 2: []}
+
+
+def test_leaks_beside_a_variant(spark):
+    other = ITEM.replace("12", "31").replace("5", "8")
+    assert leaked(spark, [f"so {ITEM} and then {other} as said", "nothing here"], [(1, ITEM)]) == {0: [1], 1: []}
+
+
+def test_leaks_of_repeated_items(spark):
+    items = [(1, ITEM), (1, ITEM), (2, "A train leaves the old town at noon and is late"), (2, "other words stand here under the same number as before"), (None, "an item that has no number at all is here")]
+    found = leaked(spark, ["so " + ITEM, "so a train leaves the old town at noon and is late", "well, an item that has no number at all is here", None], items)
+    assert found == {0: [1], 1: [2], 2: [None], 3: []}
