@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate, mixing, quality_model, quality_rules, rlz_dedup, secrets, simhash, suffix_dedup, token_store, toxicity
+from docweave.llm import (
+    byte_bpe,
+    collocations,
+    decontaminate,
+    mixing,
+    quality_model,
+    quality_rules,
+    rlz_dedup,
+    secrets,
+    simhash,
+    spelling,
+    suffix_dedup,
+    token_store,
+    toxicity,
+)
 from docweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +180,43 @@ def op3_suffix_dedup(spark, d):
 @query
 def op10_rlz_dedup(spark, d):
     return rlz_dedup.remove_repeats(table(spark, d, "documents")).select(*_removed("n_words"))
+
+
+@query
+def op11_spelling_variants(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
+
+
+@query
+def op12_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM t),
+tot AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase, count(*) AS f, any_value(ws[i : i + size - 1]) AS words
+      FROM p, unnest([1, 2, 3, 4, 5]) AS u(size), unnest(range(1, len(ws) - size + 2)) AS v(i) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, size, f AS a, words FROM f WHERE size > 1),
+s AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, n, (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM c CROSS JOIN unnest([1, 2, 3, 4]) AS u(k)
+      JOIN f x ON k < c.size AND x.lang = c.lang AND x.phrase = array_to_string(c.words[1 : k], ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1 : c.size], ' ') JOIN tot ON tot.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inn AS (SELECT lang, array_to_string(c.words[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+        FROM c, unnest([2, 3, 4]) AS u(m), unnest(range(1, c.size - m + 2)) AS v(i) WHERE m < c.size GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+      FROM b LEFT JOIN inn ON inn.lang = b.lang AND inn.phrase = b.phrase WHERE coalesce(100 * longer < 100 * a, true))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""
+
+
+@query
+def op13_byte_bpe(spark, d):
+    import public_tokenizers
+
+    rows = byte_bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return rows.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
