@@ -8,8 +8,9 @@ with those weights; a phrase belongs to the chunk in which it starts before the
 overlaps count once.
 
 Lengths are counted one after the other: a phrase can only be frequent if it is so without its first
-and without its last word, and those are looked up in a bit table of fixed greatest size. The table may say yes
-too often, which costs a row, and never no.
+and without its last word, and those are looked up in a bit table of fixed greatest size. The table
+may say yes too often, which costs a row, and never no. For three words and more only the stretches
+of the dictionary are left in which all neighbours are frequent pairs.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ TRIGGER = 16
 #: Bits of the table of frequent phrases: 16 a phrase, and at most 2 ** 30 (128 MB).
 MOST_BITS = 1 << 30
 BLOCK_BITS = 1 << 18
-#: Distinct phrases held by a task before they go on to Spark's aggregation, and words whose hash is remembered.
+#: Distinct chunks or words held by a task before they go on to Spark's aggregation.
 HELD = 200_000
-KNOWN_WORDS = 1_000_000
 UNKNOWN_LANGUAGE = "und"
 
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -90,33 +90,58 @@ def dictionary(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return parsed.groupBy("lang", "own", "chunk").agg(F.sum("times").alias("times"))
 
 
-class _Hasher:
-    """Hashes of all phrases of one length in a row of words; a language is part of its words."""
+class Words:
+    """The words of blank-joined texts as places in one byte array, with a hash each; a language is part of its words' hashes."""
+
+    def __init__(self, langs: list[str], texts: list[bytes]):
+        self.data = np.frombuffer(b" ".join([*texts, b""]), "u1")
+        blank = self.data == 32
+        self.ends = np.flatnonzero(blank)
+        self.starts = np.r_[0, self.ends[:-1] + 1] if len(self.ends) else self.ends
+        last = np.cumsum([len(t) + 1 for t in texts]) - 1
+        self.sizes = np.diff(np.r_[0, np.searchsorted(self.ends, last, "right")])  # words per text
+        self.row = np.repeat(np.arange(len(texts)), self.sizes)
+        self.within = np.arange(len(self.ends)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        lengths = self.ends - self.starts
+        place = np.arange(len(self.data)) - np.repeat(self.starts, lengths + 1)
+        powers = np.full(int(lengths.max(initial=0)) + 1, _MIX, "u8").cumprod()
+        values = np.where(blank, np.uint64(0), (self.data + np.uint64(1)) * powers[place])
+        of_lang = np.array([zlib.crc32(lang.encode()) for lang in langs], "u8")
+        summed = np.add.reduceat(values, self.starts) if len(self.starts) else np.empty(0, "u8")
+        self.hashes = _mixed(summed + of_lang[self.row])
+
+    def phrases(self, length: int) -> np.ndarray:
+        """Hashes of the phrases that start at each word, as if the texts were one; the last ``length - 1`` are missing."""
+        n = max(0, len(self.hashes) - length + 1)
+        found = np.full(n, length, "u8")
+        for k in range(length):
+            found = _mixed(found ^ self.hashes[k : k + n])
+        return found
+
+    def often(self, bits: np.ndarray, length: int) -> np.ndarray:
+        """If the phrase that starts at each word is in a bit table; False at the end."""
+        at = self.phrases(length) & np.uint64(len(bits) * 8 - 1)
+        found = np.zeros(len(self.hashes) + 1, bool)
+        found[: len(at)] = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1")) & 1
+        return found
 
-    def __init__(self) -> None:
-        self.known: dict[tuple[str, bytes], int] = {}
+    def stretches(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The bytes from one word to another, for each pair of words."""
+        start, size = self.starts[first], self.ends[last] - self.starts[first]
+        offsets = np.r_[0, np.cumsum(size)]
+        taken = self.data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(taken)])
 
-    def words(self, lang: str, words: list[bytes]) -> list[int]:
-        import xxhash
 
-        known, found = self.known, []
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for word in words:
-            if (h := known.get((lang, word))) is None:
-                h = known[lang, word] = xxhash.xxh64_intdigest(lang.encode() + b"\n" + word)
-            found.append(h)
-        return found
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX
+    x ^= x >> np.uint64(31)
+    return x
 
-    @staticmethod
-    def phrases(hashes: np.ndarray, length: int) -> np.ndarray:
-        """Of the phrase that starts at each word; the last ``length - 1`` are missing."""
-        n = max(0, len(hashes) - length + 1)
-        mixed = np.full(n, length, "u8")
-        for k in range(length):
-            mixed = (mixed ^ hashes[k : k + n]) * _MIX
-            mixed ^= mixed >> np.uint64(31)
-        return mixed
+
+def _columns(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, list[bytes], np.ndarray]:
+    langs, owns, texts, times = batch.columns
+    return langs.to_pylist(), owns.to_numpy(), texts.to_pylist(), times.to_numpy()
 
 
 def bit_table(phrases: DataFrame, length: int) -> bytes:
@@ -127,10 +152,10 @@ def bit_table(phrases: DataFrame, length: int) -> bytes:
         bits *= 2
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
-        for batch in batches:
-            found = [hasher.phrases(np.array(hasher.words(lang, p.split(b" ")), "u8"), length) for lang, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            at = np.concatenate([*found, np.empty(0, "u8")]) & np.uint64(bits - 1)
+        for batch in slices(batches, rows=8192):
+            words = Words(*(c.to_pylist() for c in batch.columns))
+            at = words.phrases(length)
+            at = at[words.within[: len(at)] == 0] & np.uint64(bits - 1)
             yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK_BITS).astype("i4")), pa.array((at % BLOCK_BITS).astype("i4"))], names=["block", "at"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,46 +176,75 @@ def bit_table(phrases: DataFrame, length: int) -> bytes:
     return bytes(whole)
 
 
-def count_phrases(chunks: DataFrame, length: int, least: int, shorter: DataFrame | None) -> DataFrame:
-    """``lang, phrase, f`` of the phrases of ``length`` words that a dictionary has ``least`` times; ``shorter`` are those of a word less.
-
-    ``phrase`` is binary. Of one word and without ``shorter`` all phrases are returned.
-    """
-    table = None if shorter is None else chunks.sparkSession.sparkContext.broadcast(bit_table(shorter, length - 1))
+def count_words(parsed: DataFrame) -> DataFrame:
+    """``lang, phrase, f`` of all words of a dictionary; ``phrase`` is binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["lang", "phrase", "f"], [pa.string(), pa.binary()]
-        hasher, found = _Hasher(), Counter()
-        bits = None if table is None else np.frombuffer(table.value, "u1")
+        found: dict[str, Counter] = {}
         for batch in slices(batches, rows=8192, most_bytes=1 << 21):
             langs, owns, texts, times = (c.to_pylist() for c in batch.columns)
-            split = [t.split(b" ") for t in texts]
-            if bits is None:
-                for lang, own, words, n in zip(langs, owns, split, times, strict=True):
-                    for word in words[:own]:
-                        found[lang, word] += n
-            else:
-                sizes = np.array([len(w) for w in split])
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                hashes = np.array([h for lang, words in zip(langs, split, strict=True) for h in hasher.words(lang, words)], "u8")
-                shorter = hasher.phrases(hashes, length - 1) & np.uint64(len(bits) * 8 - 1)
-                often = (bits[shorter >> np.uint64(3)] >> (shorter & np.uint64(7)).astype("u1")) & 1
-                within = np.arange(len(hashes)) - np.repeat(starts, sizes)
-                may = within < np.repeat(np.minimum(np.array(owns), sizes - length + 1), sizes)
-                at = np.flatnonzero(may)
-                at = at[(often[at] & often[at + 1]) > 0]
-                row = np.searchsorted(ends, at, "right")
-                for r, s in zip(row.tolist(), within[at].tolist(), strict=True):
-                    found[langs[r], b" ".join(split[r][s : s + length])] += times[r]
-            if len(found) > HELD:
-                yield _summed(found, names, kinds)
+            for lang, own, text, n in zip(langs, owns, texts, times, strict=True):
+                words = text.split(b" ")[:own]
+                counts = found.get(lang)
+                if counts is None:
+                    counts = found[lang] = Counter()
+                if n == 1:
+                    counts.update(words)
+                else:
+                    for word in words:
+                        counts[word] += n
+            if sum(map(len, found.values())) > HELD:
+                yield from (_summed(Counter({(lang, word): n for word, n in counts.items()}), names, kinds) for lang, counts in found.items())
                 found.clear()
-        yield _summed(found, names, kinds)
+        yield from (_summed(Counter({(lang, word): n for word, n in counts.items()}), names, kinds) for lang, counts in found.items())
 
-    counted = chunks.select("lang", "own", "chunk", "times").mapInArrow(run, "lang string, phrase binary, f long")
-    counted = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return counted if shorter is None else counted.filter(F.col("f") >= least)
+    counted = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "lang string, phrase binary, f long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def count_phrases(parsed: DataFrame, length: int, least: int, shorter: DataFrame) -> DataFrame:
+    """``lang, phrase, f`` of the phrases of ``length`` words that a dictionary has ``least`` times; ``shorter`` are those of a word less."""
+    table = parsed.sparkSession.sparkContext.broadcast(bit_table(shorter, length - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table.value, "u1")
+        for batch in slices(batches, rows=8192, most_bytes=1 << 21):
+            langs, owns, texts, times = _columns(batch)
+            words = Words(langs, texts)
+            often = words.often(bits, length - 1)
+            starts = words.within < np.minimum(owns, words.sizes - length + 1)[words.row]
+            at = np.flatnonzero(starts & often[:-1] & often[1:])
+            row = words.row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(row)), words.stretches(at, at + length - 1), pa.array(times[row], pa.int64())], names=["lang", "phrase", "f"])
+
+    counted = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "lang string, phrase binary, f long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+
+
+def narrowed(parsed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A dictionary of the stretches of three words or more in which all neighbours are in ``pairs``: what longer frequent phrases lie in."""
+    table = parsed.sparkSession.sparkContext.broadcast(bit_table(pairs, 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table.value, "u1")
+        for batch in slices(batches, rows=8192, most_bytes=1 << 21):
+            langs, owns, texts, times = _columns(batch)
+            words = Words(langs, texts)
+            on = words.often(bits, 2)[:-1] & (words.within + 1 < words.sizes[words.row])
+            edges = np.diff(np.r_[0, on.astype("i1"), 0])
+            first, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)  # the stretch ends with word `stop`
+            own = np.minimum(owns[words.row[first]] - words.within[first], stop - first + 1)
+            keep = (stop - first >= 2) & (own > 0)
+            first, stop, own = first[keep], stop[keep], own[keep]
+            row = words.row[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()).take(pa.array(row)), pa.array(own, pa.int32()), words.stretches(first, stop), pa.array(times[row], pa.int64())],
+                names=["lang", "own", "chunk", "times"],
+            )
+
+    kept = parsed.select("lang", "own", "chunk", "times").mapInArrow(run, "lang string, own int, chunk binary, times long")
+    return kept.groupBy("lang", "own", "chunk").agg(F.sum("times").alias("times"))
 
 
 def _exact(name: str, digits: int = 15):
@@ -221,17 +275,16 @@ def collocations(
     path = fresh_path(spark, "chunks")
     dictionary(docs, lang_col, text_col, longest, trigger).write.parquet(path)
     parsed = spark.read.parquet(path)
-    often, shorter = [], None
-    for length in range(1, longest + 1):
-        counted = count_phrases(parsed, length, least_count, shorter)
-        if shorter is None:
-            totals = parsed.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
-            counted = counted.filter(F.col("f") >= least_count)
-        shorter = cut_lineage(counted)
-        often.append(shorter.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(length).alias("length"), "f"))
-    counts = often[0]
-    for more in often[1:]:
-        counts = counts.union(more)
+    totals = parsed.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
+    often = [cut_lineage(count_words(parsed).filter(F.col("f") >= least_count))]
+    for length in range(2, longest + 1):
+        if length == 3:
+            parsed = cut_lineage(narrowed(parsed, often[-1]))
+        often.append(cut_lineage(count_phrases(parsed, length, least_count, often[-1])))
+    counts = None
+    for length, rows in enumerate(often, 1):
+        rows = rows.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(length).alias("length"), "f")
+        counts = rows if counts is None else counts.union(rows)
 
     candidates = counts.filter("length > 1").select("lang", "phrase", "length", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     joined = lambda start, size: F.array_join(F.slice("words", start, size), " ")
