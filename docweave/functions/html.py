@@ -36,6 +36,9 @@ ANCHOR_CUT = r"(?i)(?=<a\s)"
 ANCHOR_OPEN = r"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>"
 ANCHOR_TEXT = ANCHOR_OPEN + r"(.*?)(?:</a\s*>.*)?\z"
 NAMED = r"^([a-zA-Z][a-zA-Z0-9]*);"
+# Names that pages use most; they come first in the table. No character reference stands for the break.
+COMMON = ("amp", "nbsp", "lt", "gt", "quot", "apos", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo", "copy")
+SIDE_BREAK = "\x01"
 NUMBERED = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});?"
 
 
@@ -59,7 +62,10 @@ def chrome_pattern(names: tuple[str, ...]) -> str:
 
 
 def _lookup(table: dict[str, str], name: Column) -> Column:
-    keys, values = (F.lit(list(side)) for side in zip(*table.items(), strict=True))
+    """The entry of a fixed table. Its two sides are one literal each, so the plan holds no more than
+    two strings, which the optimizer folds into one map; a map is searched from the front."""
+    first = sorted(table, key=lambda name: COMMON.index(name) if name in COMMON else len(COMMON))
+    keys, values = (F.split(F.lit(SIDE_BREAK.join(side)), SIDE_BREAK) for side in (first, [table[name] for name in first]))
     return F.try_element_at(F.map_from_arrays(keys, values), name)
 
 
@@ -81,7 +87,6 @@ def decode_entities(text: Column) -> Column:
             F.regexp_extract(part, NAMED, 1).alias("name"),
             code.alias("code"),
             F.length(F.regexp_extract(part, NUMBERED, 0)).alias("digits"),
-            F.regexp_extract(part, bare, 1).alias("bare"),
         )
 
     def decoded(item: Column, position: Column) -> Column:
@@ -93,7 +98,11 @@ def decode_entities(text: Column) -> Column:
             F.coalesce(
                 F.concat(F.when(item["name"] != "", _lookup(entity_table(), item["name"])), rest(F.length(item["name"]) + F.lit(1))),
                 F.concat(number, rest(item["digits"])),
-                F.concat(F.when(item["bare"] != "", _lookup(bare_entity_table(), item["bare"])), rest(F.length(item["bare"]))),
+                # the long alternation is tried on what is neither a closed name nor a number
+                let(
+                    F.regexp_extract(item["part"], bare, 1),
+                    lambda name: F.concat(F.when(name != "", _lookup(bare_entity_table(), name)), rest(F.length(name))),
+                ),
                 F.concat(F.lit("&"), item["part"]),
             )
         )
@@ -115,8 +124,25 @@ def without_chrome(quiet: Column, names: tuple[str, ...]) -> Column:
 
 
 def element(html: Column, name: str) -> Column:
-    """Everything from the first opening to the last closing tag; empty when absent."""
-    return F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*)</{name}\s*>", 1)
+    """What lies inside the outermost elements of a name, blank-joined; empty when none is closed.
+
+    Opening and closing tags are paired by depth, so text between two such elements is left out and
+    elements inside one another count once. A closing tag without an opening one is passed over; an
+    element that is never closed ends with the last closing tag of its name.
+    """
+    closed = F.regexp_extract(html, rf"(?is)^(.*)</{name}\s*>", 1)
+    pieces = F.split(closed, rf"(?i)(?=<{name}\b[^>]*>|</{name}\s*>)")
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.rlike(rf"(?i)^<{name}\b"), piece.rlike(rf"(?i)^</{name}\b")
+        depth = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        inside = lambda depth: F.when(
+            depth > 0, F.concat(state["kept"], F.array(F.regexp_replace(piece, rf"(?i)^</?{name}\b[^>]*>", "")))
+        ).otherwise(state["kept"])
+        return let(depth, lambda depth: F.struct(depth.alias("depth"), inside(depth).alias("kept")))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return let(pieces, lambda pieces: F.array_join(F.aggregate(pieces, start, step, lambda s: s["kept"]), " "))
 
 
 def main_blocks(html: Column) -> Column:

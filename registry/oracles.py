@@ -347,6 +347,9 @@ ORACLES["doc_id"] = "SELECT url, md5(url) AS doc_id FROM pages"
 ORACLES["extract_main"] = f"WITH {MAIN} SELECT page_id, main_text FROM mains"
 BARE_PAGES = "pages AS (SELECT page_id, url, regexp_replace(html, '(?i)</?(article|main)[^>]*>', '', 'g') AS html FROM main.pages)"
 ORACLES["extract_without_article"] = f"WITH {BARE_PAGES}, {MAIN} SELECT page_id, main_text FROM mains"
+# What the second and third article add; the menu before them adds nothing.
+NESTED = MAIN.replace("CASE WHEN a <> '' THEN a ", "CASE WHEN a <> '' THEN a || ' second inner part' ")
+ORACLES["extract_nested"] = f"WITH {NESTED} SELECT page_id, main_text FROM mains"
 ORACLES["extract_fallback"] = f"WITH {NOISELESS}, {WHOLE} SELECT page_id, page_text, {clip('page_text', 200)} AS short_description FROM wholes"
 ORACLES["clean_title"] = f"WITH {NOISELESS}, {TITLES} SELECT page_id, title FROM titles"
 ORACLES["clean_text"] = f"SELECT doc_id, {clean('text')} AS cleaned FROM documents"

@@ -203,6 +203,14 @@ def extract_without_article(spark, d):
     return E.with_main_text(bare).select("page_id", "main_text")
 
 
+@query("extract_nested")
+def extract_nested(spark, d):
+    """The main text of pages whose article is followed by a menu and by a second article with a third inside."""
+    more = "</article><div><a href='/x'>menu between</a></div><article>second <article>inner</article> part</article>"
+    nested = pages_of(spark, d).withColumn("html", F.regexp_replace("html", r"(?i)</article\s*>", more))
+    return E.with_main_text(nested).select("page_id", "main_text")
+
+
 @query("reingest_latest")
 def reingest_latest(spark, d):
     """Pages stored in three segments, a third of them ingested again with other html: the corpus as read back."""

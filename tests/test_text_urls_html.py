@@ -221,3 +221,33 @@ def test_main_text_without_article(spark, body, wanted):
     page = f"<html><head><title>t</title></head><body>{body}</body></html>"
     pages = spark.createDataFrame([(1, "http://x/a", page)], "page_id long, url string, html string")
     assert E.with_main_text(pages).first()["main_text"] == wanted
+
+
+@pytest.mark.parametrize(
+    "html, inside",
+    [
+        ("<article>one</article><div>menu</div><article>two</article>", "one two"),
+        ("x<article>a <article>b</article> c</article>d<ARTICLE class='q'>e</ARTICLE >f", "a  b  c e"),
+        ("</article>x<article>y</article>", "y"),
+        ("<article>u<article>v</article>w", "u v"),
+        ("<article>a</article></article>b", "a"),
+        ("<article>never closed", ""),
+        ("<articles>z</articles>", ""),
+        ("", ""),
+    ],
+)
+def test_elements_are_paired_by_depth(one, html, inside):
+    assert one(H.element(C("t"), "article"), t=html) == inside
+
+
+def test_a_table_is_two_literals(spark, monkeypatch):
+    from pyspark.sql import functions
+
+    from docweave.operators import extract
+
+    made = []
+    plain = functions.lit
+    monkeypatch.setattr(functions, "lit", lambda value: made.append(value) or plain(value))
+    pages = spark.createDataFrame([(1, "u", "<p>&amp;</p>")], "page_id long, url string, html string")
+    extract.build_documents(pages)
+    assert len(made) < 400 and not any(isinstance(value, (list, tuple, dict)) for value in made)
