@@ -214,9 +214,17 @@ def test_pipeline(spark):
             assert after.columns == docs.columns
         ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
         if name == "simhash":
-            from docweave.llm import simhash
-
-            assert ids(after) == sorted({r["component_id"] for r in simhash.near_duplicates(before).collect()})
+            from docweave.llm import near_copies
+
+            # the exact join of the same contract: the index may miss a link, and makes none
+            nodes = before.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+            root = {r["node"]: r["root"] for r in near_copies.groups(nodes).collect()}
+            named = [(r["doc_id"], root.get(r["node"], r["node"])) for r in before.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")).collect()]
+            least = {}
+            for doc_id, r in sorted(named):
+                least.setdefault(r, doc_id)
+            assert set(least.values()) <= set(ids(after))
+            assert len(ids(after)) - len(least) <= 0.1 * (len(named) - len(least))
         elif name == "decontamination":
             from docweave.llm import decontaminate
 

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docweave.llm import decontaminate, near_copies
+from docweave.llm import decontaminate, near_copies, near_index
 
 DOCS = "doc_id long, text string, source string"
 
@@ -40,8 +41,10 @@ def test_near_copies_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], DOCS)
     kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert kept == want and 40 < len(kept) < len(texts) - 10
-    named = near_copies.groups(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("text")))
-    assert named.count() == named.select("node").distinct().count()
+    nodes = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("text"))
+    for named in (near_copies.groups(nodes), near_index.groups(nodes)):
+        assert named.count() == named.select("node").distinct().count()
+    assert near_index.groups(nodes.limit(0)).count() == 0
 
 
 def test_each_group_keeps_one_row(spark):
@@ -51,6 +54,61 @@ def test_each_group_keeps_one_row(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, text(1)), (0, text(2)), (1, text(3)), (7, text(4))])
 
 
+def test_no_group_is_wrong_and_most_are_found(spark):
+    """Families of many near copies, salted cells, and texts just under the similarity."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 12):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    exact = {r["node"]: r["root"] for r in near_copies.groups(nodes).collect()}
+    for most in (near_index.MOST, 40):
+        kept, near_index.MOST = near_index.MOST, most
+        try:
+            found = {r["node"]: r["root"] for r in near_index.groups(nodes).collect()}
+        finally:
+            near_index.MOST = kept
+        assert all(exact[n] == exact[r] for n, r in found.items())
+        merged = lambda of: len(texts) - len({of.get(n, n) for n in range(len(texts))})
+        assert merged(found) >= 0.9 * merged(exact) and merged(exact) > 100
+
+
+def test_fingerprint_is_the_majority_of_its_hashes():
+    hashes = np.random.default_rng(1).integers(0, 2**64, 1001, dtype="u8")
+    for n in (0, 1, 2, 3, 10, 1001):
+        each = [near_index.fingerprint(hashes[k : k + 1]) for k in range(n)]
+        bits = [np.unpackbits(x.view("u1"), bitorder="little").astype(int) for x in each]
+        want = 2 * sum(bits, np.zeros(512, int)) > n
+        assert (np.unpackbits(near_index.fingerprint(hashes[:n]).view("u1"), bitorder="little") == want).all()
+
+
+def test_mixing_takes_rows_not_ids(spark):
+    text = lambda n, w: " ".join([w] * n)
+    rows = [(i % 3 if i % 4 else None, text(20, f"w{i % 50}"), "ab"[i % 2], "clash") for i in range(120)] + [(5, text(20, "same"), "a", "clash")] * 30 + [(9, None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __hash_0 string")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    words = sum(len((r["text"] or "").split()) for r in mixed.collect())
+    total = sum(len((r[1] or "").split()) for r in rows)
+    assert abs(words - 1.5 * total) <= 40
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), "").count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a b c d e f", "s", 3)] * 50 + [(1, "a b c d e f", None, 4), (2, "g h i j k l", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __hash_0 int")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2] and kept[0].asDict().keys() == set(docs.columns)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
 ITEM = "If Bob has 12 apples and gives 5 apples to Carol how many apples does Bob keep in his own basket"
 
 
