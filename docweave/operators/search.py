@@ -311,8 +311,23 @@ def rerank(
 
 
 def rerank_with(candidates: DataFrame, questions: DataFrame, scorer, cap: int) -> DataFrame:
-    """Rerank with a plugged-in scorer ``(question, content) -> Column``."""
+    """Rerank with a plugged-in scorer ``(question, content) -> Column``.
+
+    One made by :func:`docweave.functions.isolate.isolated` adds an ``error`` column: a question of which
+    a pair fails has the first error on all its rows, which keep the order and score of the vectors.
+    Other questions are ranked as if it weren't there.
+    """
     paired = candidates.join(questions.select("question_id", "question"), "question_id")
+    if getattr(scorer, "reports_errors", False):
+        # by itself, so that the model runs once per pair
+        told = paired.withColumn("_told", scorer(F.col("question"), F.col("content")))
+        group = Window.partitionBy("question_id")
+        first = F.min(F.when(F.col("_told.error").isNotNull(), F.struct("vector_rank", F.col("_told.error").alias("error")))).over(group)
+        told = told.withColumn("error", first["error"])
+        failed = F.col("error").isNotNull()
+        scored = told.withColumn("_pair_score", F.when(~failed, F.col("_told.value").cast("double"))).withColumn("_vector_score", F.col("score"))
+        ranked = _reordered(scored, cap)
+        return ranked.withColumn("score", F.when(failed, F.col("_vector_score")).otherwise(F.col("score"))).drop("question", "_told", "_vector_score")
     scored = paired.withColumn("_pair_score", scorer(F.col("question"), F.col("content")).cast("double"))
     return _reordered(scored, cap).drop("question")
 

@@ -524,3 +524,26 @@ ORACLES["incremental_ingest"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_do
 FROM chunks c JOIN docs ON doc_id = document_id"""
 ORACLES["runlog_rollup"] = """SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS window_start, event_type AS operation, count(*) AS n
 FROM events GROUP BY ALL"""
+ORACLES["runlog_sink"] = """WITH e AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
+  CASE WHEN event_type = 'error' THEN 'batch_query' ELSE 'ingestion' END AS operation, event_type AS status, props FROM events)
+SELECT timestamp, operation, status, name, props ->> name AS value FROM (SELECT *, unnest(json_keys(props)) AS name FROM e)
+UNION ALL SELECT timestamp, operation, status, 'results_returned', '2' FROM e WHERE operation = 'batch_query'"""
+# What comes after the later quarters have set the watermark is lost, and windows that it hasn't passed stay open.
+ORACLES["runlog_stream"] = """WITH ends AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b, max(ts) - INTERVAL '10 minutes' AS passed FROM events),
+e AS (SELECT events.*, passed, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS w FROM events, ends
+  WHERE NOT (epoch_us(ts) * 2 < a + b AND event_id % 5 = 0))
+SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, CASE WHEN event_type = 'error' THEN 'batch_query' ELSE 'ingestion' END AS operation,
+  event_type AS status, count(*) AS n FROM e WHERE w + INTERVAL '6 hours' <= passed GROUP BY ALL"""
+ORACLES["incremental_batches"] = ORACLES["reingest_latest"].replace("page_id % 3 = 1", "page_id % 5 = 0")
+ORACLES["embed_model"] = """SELECT doc_id, dim, round(value, 6) AS value FROM (SELECT doc_id, unnest(range(8)) AS dim,
+  unnest(list_transform(['a', 'e', 'i', 'n', 'r', 's', 't', ' '], lambda c: (length(coalesce(text, '')) - length(replace(coalesce(text, ''), c, '')))::DOUBLE)) AS value
+  FROM documents) WHERE value <> 0"""
+ORACLES["rerank_isolated"] = f"""{searched(15)}, told AS (SELECT h.question_id, h.chunk_id, h.vector_rank, length(question) % 7 = 0 AS failed,
+  CASE WHEN length(question) % 7 = 0 THEN NULL ELSE -abs(length(question) * 10 - length(content))::DOUBLE END AS pair_score
+  FROM hits h JOIN questions USING (question_id) JOIN chunks USING (chunk_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pair_score DESC NULLS LAST, vector_rank) AS rank FROM told)
+SELECT question_id, rank, chunk_id, vector_rank, pair_score, CASE WHEN failed THEN 'cannot score this question' END AS error FROM placed WHERE rank <= 5"""
+ORACLES["stored_vectors"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_docs")}, {hashed("v", "chunks", "chunk_id", "content")}
+SELECT k AS chunk_id, dim, round(v, 6) AS value FROM v"""
+ORACLES["export_chunks"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_docs")}
+SELECT document_id, chunk_id, content, chunk_index, total_chunks, true AS iso_time FROM chunks"""

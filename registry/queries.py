@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import Settings
 from docweave.functions import filters as P
+from docweave.functions import isolate as I
 from docweave.functions import text as X
 from docweave.functions import urls as U
 from docweave.functions import vectors as V
@@ -32,6 +33,7 @@ from docweave.sources import questions as SQ
 from docweave.sources import runlog as SR
 from docweave.sources.store import CorpusStore
 from docweave.streaming.ingest import ingest_stream, page_stream
+from docweave.streaming.runlog import log_stream, rolling_counts, write_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -880,3 +882,114 @@ def runlog_rollup(spark, d):
     rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("operation"))
     counts = SR.rollup(rows, "ts", "6 hours", ["operation"])
     return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "operation", "n")
+
+
+def log_entries(spark, d):
+    """Events as entries of the run log: errors are batches of questions, all else ingestions."""
+    props = F.from_json("props", "map<string,string>")
+    batch = F.create_map(F.lit("summary"), F.col("props"), F.lit("results"), F.lit('["a","b"]'))
+    is_batch = F.col("event_type") == "error"
+    payload = F.struct(
+        F.when(is_batch, F.lit("batch_query")).otherwise(F.lit("ingestion")).alias("operation"),
+        F.col("event_type").alias("status"),
+        F.when(is_batch, batch).otherwise(props).alias("metrics"),
+        F.lit(None).cast("string").alias("error_message"),
+        F.lit(None).cast("string").alias("timestamp"),
+    )
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), stamp, F.lit("127.0.0.1").alias("source_ip"), payload.alias("payload"))
+
+
+@query("runlog_sink")
+def runlog_sink(spark, d):
+    """The log written in two appends and read back: what each operation reports."""
+    path, entries_ = fresh_path(spark, "log"), log_entries(spark, d)
+    for part in (0, 1):
+        SR.append_log(entries_.where(F.col("event_id") % 2 == part), path)
+    return SR.scan_log(SR.read_log(spark, path))
+
+
+@query("runlog_stream")
+def runlog_stream(spark, d):
+    """Counts of a streamed log of four files: the earlier half, the two later quarters, and a fifth of the earlier half.
+
+    That fifth comes too late: rows are held against the watermark of the batch before the last one.
+    """
+    entries_ = log_entries(spark, d)
+    ends = entries_.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    placed = entries_.join(F.broadcast(ends)).withColumn("early", F.unix_micros("ts") * 2 < F.unix_micros("first") + F.unix_micros("last"))
+    third = F.unix_micros("ts") * 4 < F.unix_micros("first") + F.unix_micros("last") * 3
+    late = F.col("early") & (F.col("event_id") % 5 == 0)
+    path = fresh_path(spark, "log")
+    for part in (F.col("early") & ~late, ~F.col("early") & third, ~third, late):
+        SR.append_log(placed.where(part).coalesce(1), path)
+    counts = rolling_counts(log_stream(spark, path, files_per_batch=1), "6 hours", "10 minutes")
+    out = fresh_path(spark, "counts")
+    write_counts(counts, out, fresh_path(spark, "stream")).awaitTermination()
+    found = spark.read.schema("window_start timestamp, operation string, status string, n long").parquet(out)
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "operation", "status", "n")
+
+
+@query("incremental_batches")
+def incremental_batches(spark, d):
+    """Pages that stream in as four files, one micro-batch each; the last one has a fifth of the pages again, with other html."""
+    pages, path = pages_of(spark, d), fresh_path(spark, "arrivals")
+    again = pages.where("page_id % 5 = 0").withColumn("html", F.regexp_replace("html", "(?i)<body", "<body data-again='1'"))
+    for part in (*(pages.where(F.col("page_id") % 3 == k) for k in range(3)), again):
+        part.coalesce(1).write.mode("append").parquet(path)
+    store = CorpusStore(spark, fresh_path(spark, "store"))
+    ingest_stream(page_stream(spark, path, files_per_batch=1), store, fresh_path(spark, "stream"), PLAIN).awaitTermination()
+    counts = store.chunks().groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_chunks"))
+    documents = store.documents().select("doc_id", "url", F.md5("raw_html").alias("html_md5"))
+    return documents.join(counts, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+
+
+@query("embed_model")
+def embed_model(spark, d):
+    """Vectors of all documents from a plugged-in batch model."""
+
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[t.count(c) for c in "aeinrst "] for t in texts], dtype="f4")
+
+    rows = table(spark, d, "documents").select("doc_id", V.model_embedder(make, 8)(F.coalesce("text", F.lit(""))).alias("embedding"))
+    return entries(rows, "doc_id", "embedding")
+
+
+@query("rerank_isolated")
+def rerank_isolated(spark, d):
+    """Hits ranked by a plugged-in scorer that fails on some questions: those keep the vector order and tell the error."""
+
+    def make():
+        def score(questions, contents):
+            if any(len(q) % 7 == 0 for q in questions):
+                raise ValueError("cannot score this question")
+            return [-float(abs(len(q) * 10 - len(c))) for q, c in zip(questions, contents, strict=True)]
+
+        return score
+
+    store = stored_corpus(spark, d)
+    chunks = store.chunks()
+    asked = S.embed_questions(user_questions(spark, d))
+    found = S.nearest(asked, chunks, 15).join(chunks.select("chunk_id", "content"), "chunk_id")
+    ranked = S.rerank_with(found, asked, I.isolated(None, "double", make=make), 5)
+    pair_score = F.when(F.col("error").isNull(), F.col("score")).alias("pair_score")
+    return ranked.select("question_id", "rank", "chunk_id", "vector_rank", pair_score, "error")
+
+
+@query("stored_vectors")
+def stored_vectors(spark, d):
+    """The vectors of a store as read back."""
+    return entries(stored_corpus(spark, d).chunks(), "chunk_id", "embedding")
+
+
+@query("export_chunks")
+def export_chunks(spark, d):
+    """Chunks exported as JSON and read back, with the time of the export's documents as an ISO string."""
+    store, path = stored_corpus(spark, d), fresh_path(spark, "export")
+    store.export(path)
+    chunks = spark.read.schema("chunk_id string, document_id string, content string, chunk_index int, total_chunks int").json(f"{path}/chunks")
+    documents = spark.read.schema("doc_id string, created_at string").json(f"{path}/documents")
+    iso = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$").alias("iso_time")
+    return chunks.join(documents.select(F.col("doc_id").alias("document_id"), iso), "document_id")
