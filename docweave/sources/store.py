@@ -5,12 +5,17 @@ takes the committed segments and, per document, its latest one: so a re-ingested
 replaces its rows and all its chunks, the cost of an ingest depends on the batch alone, a
 committed segment is never overwritten, and a half-written one is never seen.
 ``compact`` folds the segments into one.
+
+Several writers may work on one store. A writer claims its segment id by making a file that must not
+exist yet, so no two share an id. A full segment lists the commits that it replaces; what others
+commit meanwhile is not among them, stays visible, and counts as later than what was folded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +34,7 @@ COMMITS = T.StructType(
         T.StructField("kind", T.StringType()),
         T.StructField("committed_at", T.TimestampType()),
         T.StructField("owner", T.StringType()),
+        T.StructField("replaces", T.ArrayType(T.LongType())),
     ]
 )
 _BATCH = T.StructField("batch", T.LongType())
@@ -42,9 +48,10 @@ class CorpusStore:
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
 
-    def _commit_rows(self) -> list[tuple[int, str, str | None]]:
+    def _commit_rows(self) -> list[tuple[int, str, str | None, list[int] | None]]:
         try:
-            rows = self.spark.read.schema(COMMITS).json(self._path("commits")).select("batch", "kind", "owner").collect()
+            reader = self.spark.read.schema(COMMITS).option("recursiveFileLookup", "true")
+            rows = reader.json(self._path("commits")).select("batch", "kind", "owner", "replaces").collect()
         except AnalysisException as error:
             if is_missing(error):
                 return []
@@ -53,11 +60,11 @@ class CorpusStore:
 
     def commits(self) -> list[tuple[int, str]]:
         """``(batch, kind)`` of every commit in order: one small row per ingest."""
-        return sorted({(batch, kind) for batch, kind, _ in self._commit_rows()})
+        return sorted({(batch, kind) for batch, kind, *_ in self._commit_rows()})
 
     def committed_by(self, owner: str) -> bool:
         """True if a commit carries this owner: how a replayed stream batch knows that it is done."""
-        return any(name == owner for _, _, name in self._commit_rows())
+        return any(name == owner for _, _, name, _ in self._commit_rows())
 
     def last_batch(self) -> int:
         """The greatest committed batch id; -1 for an empty store."""
@@ -67,10 +74,31 @@ class CorpusStore:
         return bool(self.commits())
 
     def _visible(self) -> list[int]:
-        """Committed batch ids from the last fresh start on: as many as ingests since then."""
-        commits = self.commits()
-        fresh = max((batch for batch, kind in commits if kind == "full"), default=-1)
-        return sorted({batch for batch, _ in commits if batch >= fresh})
+        """Committed batch ids that count, from the oldest content on: the last full segment, then what it doesn't replace."""
+        rows = self._commit_rows()
+        full = max((batch for batch, kind, _, _ in rows if kind == "full"), default=None)
+        if full is None:
+            return sorted({batch for batch, *_ in rows})
+        replaced = next(replaces for batch, kind, _, replaces in rows if batch == full)
+        gone = (lambda batch: batch < full) if replaced is None else set(replaced).__contains__
+        kinds = {batch: kind for batch, kind, _, _ in rows if not gone(batch)}
+        return sorted(kinds, key=lambda batch: (kinds[batch] != "full", batch))
+
+    def _claim(self, batch: int) -> bool:
+        """True for the one writer that gets this segment id.
+
+        Rests on the file system's exclusive create, as HDFS and local folders have it.
+        """
+        jvm, context = self.spark._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(self._path("claims", str(batch)))
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        try:
+            files.create(path, False).close()
+        except Py4JJavaError as error:
+            if files.exists(path):
+                return False
+            raise error
+        return True
 
     def _segments(self, table: str, schema: T.StructType, batches: list[int]) -> DataFrame:
         with_batch = T.StructType([*schema.fields, _BATCH])
@@ -95,12 +123,15 @@ class CorpusStore:
         they are few and then broadcast, which leaves the corpus unshuffled.
         """
         if self._stale is None or self._stale[0] != tuple(batches):
+            # ids are in order of content, but for a full segment in front
+            order = F.when(F.col("batch") == batches[0], F.lit(-1).cast("long")).otherwise(F.col("batch"))
             stale = (
                 self._segments("documents", DOCUMENTS, batches)
                 .groupBy(F.col("doc_id").alias("_doc"))
-                .agg(F.array_sort(F.collect_set("batch")).alias("_batches"))
+                .agg(F.array_sort(F.collect_set(F.struct(order.alias("order"), "batch"))).alias("_batches"))
                 .where(F.size("_batches") > 1)
-                .select("_doc", F.explode(F.slice("_batches", F.lit(1), F.size("_batches") - 1)).alias("batch"))
+                .select("_doc", F.explode(F.slice("_batches", F.lit(1), F.size("_batches") - 1)).alias("b"))
+                .select("_doc", "b.batch")
             )
             self._stale = (tuple(batches), bounded(cut_lineage(stale)))
         return self._stale[1]
@@ -118,14 +149,20 @@ class CorpusStore:
         batch: int | None = None,
         full: bool = False,
         owner: str | None = None,
+        replaces: list[int] | None = None,
     ) -> int:
         """One segment. ``chunks`` may be a function of the documents just stored.
 
-        ``full`` makes it the whole store: earlier segments are left behind. A segment takes the
-        next free id; a committed one is never written again. One writer at a time.
+        ``full`` makes it the start of the store: the commits in ``replaces`` (those there are now unless
+        told) are left behind. A segment takes the next free id, which no other writer gets; a committed
+        one is never written again. With ``batch`` the caller answers for the id.
         """
+        if full and replaces is None:
+            replaces = [taken for taken, _ in self.commits()]
         if batch is None:
             batch = self.last_batch() + 1
+            while not self._claim(batch):
+                batch += 1
         elif any(batch == taken for taken, _ in self.commits()):
             raise ValueError(f"segment {batch} is committed")
         path = self._path("documents", f"batch={batch}")
@@ -138,8 +175,10 @@ class CorpusStore:
             F.lit("full" if full else "delta").alias("kind"),
             F.current_timestamp().alias("committed_at"),
             F.lit(owner).cast("string").alias("owner"),
+            (F.array(*map(F.lit, replaces)) if full else F.lit(None)).cast("array<bigint>").alias("replaces"),
         )
-        row.write.mode("append").json(self._path("commits"))
+        # a folder of its own: jobs that write into one folder at a time remove each other's unfinished files
+        row.write.mode("append").json(self._path("commits", str(batch)))
         return batch
 
     def write_fetch_log(self, log: DataFrame, batch: int) -> None:
@@ -155,9 +194,10 @@ class CorpusStore:
 
     def compact(self) -> int:
         """Folds the segments into one, sorted by id so that look-ups skip most row groups."""
+        replaces = [taken for taken, _ in self.commits()]
         documents = self.documents().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         order = ("document_id", "chunk_index")
-        return self.write(documents, self.chunks().repartitionByRange(*order).sortWithinPartitions(*order), full=True)
+        return self.write(documents, self.chunks().repartitionByRange(*order).sortWithinPartitions(*order), full=True, replaces=replaces)
 
     def clear(self) -> int:
         """An empty store; earlier segments stay on disk until removed by hand."""
@@ -166,13 +206,14 @@ class CorpusStore:
 
     def rebuild(self, embed=None) -> int:
         """Vectors made anew from the text with ``embed``, or the stored ones normalised again."""
+        replaces = [taken for taken, _ in self.commits()]
         chunks = self.chunks()
         if embed is not None:
             vector = embed(F.col("content"), self.settings.embed.dimension)
         else:
             vector = normalise(F.col("embedding"))
         return self.write(
-            self.documents(), chunks.withColumn("embedding", vector.cast("array<float>")), full=True
+            self.documents(), chunks.withColumn("embedding", vector.cast("array<float>")), full=True, replaces=replaces
         )
 
     def analyse(self) -> None:

@@ -547,3 +547,4 @@ ORACLES["stored_vectors"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_docs")
 SELECT k AS chunk_id, dim, round(v, 6) AS value FROM v"""
 ORACLES["export_chunks"] = f"""WITH RECURSIVE {PAGE_DOCS}, {packed("page_docs")}
 SELECT document_id, chunk_id, content, chunk_index, total_chunks, true AS iso_time FROM chunks"""
+ORACLES["interleaved_writers"] = ORACLES["reingest_latest"].replace("page_id % 3 = 1", "page_id % 3 > 0")

@@ -993,3 +993,24 @@ def export_chunks(spark, d):
     documents = spark.read.schema("doc_id string, created_at string").json(f"{path}/documents")
     iso = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$").alias("iso_time")
     return chunks.join(documents.select(F.col("doc_id").alias("document_id"), iso), "document_id")
+
+
+@query("interleaved_writers")
+def interleaved_writers(spark, d):
+    """Three writers on one store: while a third of the pages is ingested again, another third is too, and the store is folded."""
+    pages, root = pages_of(spark, d), fresh_path(spark, "store")
+    again = pages.withColumn("html", F.regexp_replace("html", "(?i)<body", "<body data-again='1'"))
+    slow, quick, folder = (CorpusStore(spark, root) for _ in range(3))
+    put = lambda store, rows, chunks: store.write(relevant_documents(rows, PLAIN), chunks)
+    put(slow, pages, lambda stored: embedded_chunks(stored, PLAIN))
+
+    def meanwhile(stored):
+        put(quick, again.where("page_id % 3 = 2"), lambda more: embedded_chunks(more, PLAIN))
+        folder.compact()
+        return embedded_chunks(stored, PLAIN)
+
+    put(slow, again.where("page_id % 3 = 1"), meanwhile)
+    store = CorpusStore(spark, root)
+    counts = store.chunks().groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_chunks"))
+    documents = store.documents().select("doc_id", "url", F.md5("raw_html").alias("html_md5"))
+    return documents.join(counts, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))

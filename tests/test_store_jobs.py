@@ -279,3 +279,42 @@ def test_rolling_counts_drop_late_rows(spark, tmp_path):
     second = run()
     assert first <= second and ("2024-01-01 10:00:00", "ingestion", 2) not in second
     assert ("2024-01-01 15:00:00", "ingestion", 1) in second
+
+
+def test_writers_that_interleave_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from docweave.schemas import CHUNKS, DOCUMENTS
+    from docweave.sources.store import CorpusStore
+
+    root = f"file://{tmp_path}/shared"
+
+    def rows(names, content):
+        documents = spark.createDataFrame([{"doc_id": n, "content": content} for n in names], DOCUMENTS)
+        return documents, spark.createDataFrame([{"chunk_id": n, "document_id": n, "content": content} for n in names], CHUNKS)
+
+    def held():
+        store = CorpusStore(spark, root)
+        documents = {r["doc_id"]: r["content"] for r in store.documents().collect()}
+        assert documents == {r["document_id"]: r["content"] for r in store.chunks().collect()}
+        assert store.documents().count() == len(documents)
+        return documents
+
+    CorpusStore(spark, root).write(*rows("ab", "first"))
+    documents, chunks = rows("bc", "slow")
+
+    def meanwhile(stored):
+        CorpusStore(spark, root).write(*rows("ad", "quick"))
+        CorpusStore(spark, root).compact()
+        assert held() == {"a": "quick", "b": "first", "d": "quick"}
+        return chunks
+
+    CorpusStore(spark, root).write(documents, meanwhile)
+    assert held() == {"a": "quick", "b": "slow", "c": "slow", "d": "quick"}
+    CorpusStore(spark, root).compact()
+    assert held() == {"a": "quick", "b": "slow", "c": "slow", "d": "quick"}
+    with ThreadPoolExecutor(3) as pool:
+        ids = list(pool.map(lambda k: CorpusStore(spark, root).write(*rows([f"t{k}"], "thread")), range(3)))
+    assert len(set(ids)) == 3 and set(held()) == {"a", "b", "c", "d", "t0", "t1", "t2"}
+    CorpusStore(spark, root).clear()
+    assert held() == {}
