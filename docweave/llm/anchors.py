@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import slices, texts_of
-from docweave.session import fresh_path
+from docweave.session import bounded, fresh_path
 
 PIECE = 1 << 18
 MANY = 2000
@@ -159,11 +159,25 @@ def same_text(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, left["doc_id"].eqNullSafe(F.col("__doc")) & (left["h"] == F.col("__h")), how).drop("__doc", "__h")
 
 
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """One row per (doc_id, h): equal rows have equal surroundings.
+
+    Only ids and hashes are counted; the texts of repeated rows meet in each task before they are
+    shuffled, and all other texts stay where they are.
+    """
+    pair = ["doc_id", "h"]
+    repeated = stored(texts.groupBy(*pair).agg(F.count("*").alias("__rows")).filter("__rows > 1").select(*pair), "repeated-rows")
+    if repeated.isEmpty():
+        return texts
+    repeated = bounded(repeated)
+    return same_text(texts, repeated, "left_anti").union(same_text(texts, repeated, "left_semi").groupBy(*pair).agg(F.min("text").alias("text")))
+
+
 def _surroundings(docs: DataFrame, wanted: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
     """``wanted`` (one row per occurrence) with ``body``: the 64-bit values of its run of windows."""
     names = ["key", "run", "n", "many", "at", "before", "after"]
     listed = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*names)).alias("list"))
-    joined = same_text(keyed(docs, id_col, text_col), listed, "inner")
+    joined = same_text(_one_of_each(keyed(docs, id_col, text_col)), listed, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=1 << 20):

@@ -147,6 +147,25 @@ def test_substrings(spark, monkeypatch, many, piece):
     assert sorted((order(r["doc_id"]), r["n_words"], bytes(r["kept"])) for r in found) == sorted(want)
 
 
+def test_equal_rows_beside_a_variant(spark):
+    """Equal rows give one surrounding per anchor, and each of them its result."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(40)]
+    same, variant = " ".join(words), " ".join([*words[:30], "other", *words[31:]])
+    rows = [(7, same)] * 3000 + [(None, same)] * 500 + [(9, variant), (7, variant), (11, "alone " * 3)]
+    spec = anchors.Spec(8, 3, rlz_dedup.word_symbols, lambda values: values, 8, smaller_only=True)
+    docs = frame(spark, rows)
+    wanted = anchors.occurrences(docs, spec, "doc_id", "text").dropDuplicates(["key", "run"]).selectExpr("*", "1L AS n", "false AS many")
+    assert anchors._surroundings(docs, wanted, spec, "doc_id", "text").count() == wanted.count()
+    order = lambda i: (i is None, i)
+    found = rlz_dedup.remove_repeats(docs, length=8, core=3).collect()
+    want = [(order(i), k) for (i, _), k in zip(rows, brute_words(rows, 8))]
+    assert sorted((order(r["doc_id"]), bytes(r["kept"])) for r in found) == sorted(want)
+    found = suffix_dedup.remove_repeats(docs, length=40, core=12).collect()
+    want = [(order(i), k) for (i, _), k in zip(rows, brute_bytes(rows, 40))]
+    assert sorted((order(r["doc_id"]), bytes(r["kept"])) for r in found) == sorted(want)
+
+
 def test_no_rows(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
     assert rlz_dedup.remove_repeats(frame(spark, [])).count() == 0
