@@ -29,14 +29,19 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: Long runs without blanks that hold a digit: the only strings whose tokens are counted.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+#: Runs without blanks whose tokens are counted, and the stretches between separators within them.
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_STRETCH = re.compile(r"[A-Za-z0-9+]{12,}")
 _IDENTIFIERS = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"  # digests
     r"|[0-9+/_=-]+"  # numbers, dates, rules
-    r"|(?:[A-Za-z]+|[0-9]+)(?:[/_=-]+(?:[A-Za-z]+|[0-9]+))*[/_=-]*"  # paths and names of whole words and numbers
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_][0-9-]+Z?"  # times
 )
+#: Paths and names of whole words and numbers: never dense as a whole, but a stretch of one may be.
+_NAMES = re.compile(r"[/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[/_=-]+(?:[A-Za-z]+|[0-9]+))*[/_=-]*")
+#: Counting tokens of one piece may take time by the square of its length.
+_COUNTED = 1024
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -47,13 +52,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _limit(word: str, most: float) -> float:
+    """The most characters per token at which ``word`` is held to be random; 0: it is never.
+
+    Letters alone must stay further below prose: words of other languages also fall apart into short
+    tokens. Laughter, rules and sequences of few different letters are never random.
+    """
+    digit, mixed = any(c.isdigit() for c in word), bool(re.search("[a-z]", word) and re.search("[A-Z]", word[1:]))
+    if len(word) < 16:
+        return most - 0.3 if digit and mixed else 0.0
+    if digit:
+        return most
+    if len(set(word)) < 8:
+        return 0.0
+    return most - 0.15 if mixed or len(word) >= 24 else most - 0.4
+
+
 def dense_spans(text: str, count_tokens, most_chars_per_token: float) -> list[tuple[int, int, int]]:
-    """Spans of strings with few characters per token that are no known digest or identifier."""
+    """Spans of strings with few characters per token that are no known digest or identifier.
+
+    A run is tested as a whole; if that is not dense, each stretch between ``/ _ = -`` is, so a key
+    behind a path or a name is found.
+    """
+
+    def dense(word: str) -> bool:
+        most = _limit(word, most_chars_per_token)
+        if not most or _IDENTIFIERS.fullmatch(word):
+            return False
+        return len(word) <= most * sum(count_tokens(word[i : i + _COUNTED]) for i in range(0, len(word), _COUNTED))
+
     found = []
-    for m in _CANDIDATE.finditer(text):
-        word = m.group()
-        if not _IDENTIFIERS.fullmatch(word) and len(word) <= most_chars_per_token * count_tokens(word):
-            found.append((m.start(), 3, m.end()))
+    for run in _RUN.finditer(text):
+        word = run.group()
+        if _IDENTIFIERS.fullmatch(word):
+            continue
+        if not _NAMES.fullmatch(word) and dense(word):
+            found.append((run.start(), 3, run.end()))
+            continue
+        found += [(run.start() + m.start(), 3, run.start() + m.end()) for m in _STRETCH.finditer(word) if dense(m.group())]
     return found
 
 
@@ -72,7 +108,8 @@ def find_secrets(
     """One row per input row with its spans, in code points, end exclusive.
 
     ``vocabulary`` names a rank file (base64 token and rank per line) and ``pattern`` the split
-    of texts before the merges. A dense span that touches a stated one is left out. Null and empty
+    of texts before the merges. A dense span that touches a stated one is left out. Very long texts
+    are read whole, and tokens of a very long run are counted in stretches of 1,024 signs. Null and empty
     texts give no spans; a null id stays null; repeated rows are answered each; other columns are
     not read, so their names cannot clash.
     """

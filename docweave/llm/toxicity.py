@@ -1,9 +1,9 @@
 """Toxicity of texts whose words may be disguised.
 
 A disguise is seen as a noisy channel: letters are written as look-alike signs, spelled out with
-separators, or repeated. For each disguised word the possible letters form a lattice, and a
-Viterbi search over it, under a letter trigram model counted over the whole corpus, restores the
-likeliest words. Texts are then scored by weighted words and word beginnings, learned from labelled rows.
+separators, or repeated. For each disguised word, and each stretch of spelled-out letters, the
+possible letters and word ends form a lattice, and a Viterbi search over it, under a letter trigram
+model counted over the whole corpus, restores the likeliest words. Texts are then scored by weighted words and word beginnings, learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -35,14 +35,15 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i",
 }
 _SIGNS = re.escape("".join(LOOKALIKES))
-#: A look-alike next to a letter and before another one.
-_DISGUISED = re.compile(rf"(?:^|[^\W\d_])[{_SIGNS}]+[^\W\d_]|(\w)\1\1")
-#: Four or more single letters or signs, all parted by the same separator.
+#: A look-alike before or after a letter, a sign three times, or two doubled letters in a row.
+_DISGUISED = re.compile(rf"(?:^|[^\W\d_])[{_SIGNS}]+[^\W\d_]|[^\W\d_][{_SIGNS}]+$|(\w)\1\1|([^\W\d_])\2([^\W\d_])\3")
+#: Four or more single letters or signs, all parted by the same separator, or by any.
 _SPELLED = re.compile(r"(?<![\w@$|+€])[\w@$|+€]([ .\-_*]{1,3})[\w@$|!+€](?:\1[\w@$|!+€]){2,}(?!\w)")
+_MIXED = re.compile(r"(?<![\w@$|+€])[\w@$|+€](?:[ .\-_*]{1,3}[\w@$|!+€](?![\w@$|+€])){3,}")
 #: What is around a word: punctuation, and three or more of one sign as decoration.
 _OUTSIDE = re.compile(r"^[^\w@$€£¡]+|[^\w@$€£]+$|([^\w])\1\1+[^\w@$€£]*$")
-#: Longer words are not taken for disguised ones.
-_LONGEST = 24
+#: Columns of one lattice; longer stretches are searched in blocks that share the overlap.
+BLOCK, OVERLAP = 64, 24
 PREFIXES = (3, 4, 5, 6, 7, 8)
 MOST_WEIGHT = 20.0
 #: The sum takes this many words, so that length alone is no evidence.
@@ -99,21 +100,23 @@ def letter_costs(counts: DataFrame) -> np.ndarray:
     return -np.log(table).astype("f4")
 
 
-def restore(word: str, costs: np.ndarray, best: int = 3) -> list[str]:
-    """The likeliest words behind a disguised one, best first.
+def _runs(word: str) -> list[tuple[str, int]]:
+    """Each sign of a word, and how often it stands in a row."""
+    return [(m.group(1), len(m.group())) for m in re.finditer(r"(.)\1*", word, re.S)]
 
-    Runs of one sign are lattice columns: each letter that the sign may stand for, once, or twice if
-    it is repeated. The search keeps, per pair of last letters, the ``best`` cheapest ways.
-    """
-    runs = [(m.group(1), len(m.group())) for m in re.finditer(r"(.)\1*", word[:_LONGEST], re.S)]
+
+def _search(runs: list[tuple[str, int]], costs: np.ndarray, best: int, boundaries: bool) -> list[str]:
+    """The cheapest ways through a lattice of sign runs, best first, with blanks at word ends if they are allowed."""
     place = {letter: i + 1 for i, letter in enumerate(LETTERS)}
     states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for sign, length in runs:
+    for at, (sign, length) in enumerate(runs):
         options = [(l, SIGN_COST) for l in LOOKALIKES.get(sign, "")]
         options.append((sign, DIGIT_COST if sign in LOOKALIKES else 0.0))
         ways = options
         if length > 1:
             ways = [(l, cost + RUN_COST) for l, cost in options] + [(l + l, cost) for l, cost in options]
+        if boundaries and at:
+            ways = ways + [(" " + written, cost) for written, cost in ways]
         after: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), paths in states.items():
             for written, cost in ways:
@@ -128,6 +131,28 @@ def restore(word: str, costs: np.ndarray, best: int = 3) -> list[str]:
     return [s for _, s in heapq.nsmallest(best, ended)]
 
 
+def restore(word: str, costs: np.ndarray, best: int = 3) -> list[str]:
+    """The likeliest words behind a disguised one, best first.
+
+    Runs of one sign are lattice columns: each letter that the sign may stand for, once, or twice if
+    it is repeated. The search keeps, per pair of last letters, the ``best`` cheapest ways. A word of
+    more than ``BLOCK`` columns is longer than any word of a language: only its beginning is restored,
+    as of plain words of that length only the beginning counts.
+    """
+    return _search(_runs(word)[:BLOCK], costs, best, False)
+
+
+def readings(joined: str, costs: np.ndarray, best: int = 3) -> list[list[list[str]]]:
+    """Per block of joined spelled-out letters, the ``best`` likeliest ways to part and restore its words.
+
+    Word ends are states of the lattice. The whole stretch is searched, in blocks that overlap by more
+    than a word.
+    """
+    runs = _runs(joined)
+    blocks = [runs[i : i + BLOCK] for i in range(0, max(1, len(runs) - OVERLAP), BLOCK - OVERLAP)]
+    return [[way.split() for way in _search(block, costs, best, True)] for block in blocks]
+
+
 def word_features(word: str) -> list[str]:
     """The bare word, and its beginnings where it is longer."""
     core = _OUTSIDE.sub("", word)
@@ -139,8 +164,14 @@ def hidden_words(text: str) -> list[str]:
     return [re.sub(r"[ .\-_*]+", "", m.group()) for m in _SPELLED.finditer(text)]
 
 
+def spelled_out(text: str) -> set[str]:
+    """The same, and stretches in which the separators differ."""
+    found = set(hidden_words(text)) | {re.sub(r"[ .\-_*]+", "", m.group()) for m in _MIXED.finditer(text)}
+    return {joined for joined in found if any(c.isalpha() for c in joined)}
+
+
 def disguised(word: str) -> bool:
-    return len(word) <= _LONGEST and bool(_DISGUISED.search(word)) and any(c.isalpha() for c in word)
+    return bool(_DISGUISED.search(word)) and any(c.isalpha() for c in word)
 
 
 def sample(
@@ -215,17 +246,28 @@ def _evidence(costs: np.ndarray, weights: dict[str, float]):
     """A function from a text to its summed weight and the restored words that counted."""
     memo: dict[str, tuple[float, str] | None] = {}
 
-    def looked_up(word: str, hidden: bool) -> tuple[float, str] | None:
+    def looked_up(word: str) -> tuple[float, str] | None:
         best = max((weights[f] for f in word_features(word) if f in weights), default=None)
         best = None if best is None else (best, "")
         core = _OUTSIDE.sub("", word)
-        if hidden or disguised(core):
+        if disguised(core):
             for written in restore(core, costs):
                 found = max((weights[f] for f in word_features(written) if f in weights), default=None)
                 if found is not None and (best is None or found > best[0]):
                     best = (found, written)
         return best
 
+    def uncovered(joined: str) -> dict[str, float]:
+        """Hits among the words that spelled-out letters hide: of each block the reading that says most, as one word or parted."""
+        core = _OUTSIDE.sub("", joined)
+        blocks = readings(core, costs)
+        blocks[0] += [[word] for word in restore(core, costs)]
+        hits: dict[str, float] = {}
+        for block in blocks:
+            read = [{w: max(weights[f] for f in found) for w in way if (found := [f for f in word_features(w) if f in weights])} for way in block]
+            hits |= max(read, key=lambda h: sum(h.values()), default={})
+        return hits
+
     def of(text: str) -> tuple[float, list[str]]:
         text = text.lower()
         words = set(text.split())
@@ -233,11 +275,11 @@ def _evidence(costs: np.ndarray, weights: dict[str, float]):
             memo.clear()
         for word in words:
             if word not in memo:
-                memo[word] = looked_up(word, False)
+                memo[word] = looked_up(word)
         hits = {_OUTSIDE.sub("", w) if not memo[w][1] else memo[w][1]: memo[w] for w in words if memo[w]}
-        for word in hidden_words(text):
-            if hit := looked_up(word, True):
-                hits.setdefault(hit[1] or word, hit)
+        for joined in sorted(spelled_out(text)):
+            for word, weight in uncovered(joined).items():
+                hits.setdefault(word, (weight, word))
         return min(MOST_WEIGHT, sum(heapq.nlargest(STRONGEST, (w for w, _ in hits.values())))), sorted({w for _, w in hits.values() if w})
 
     return of

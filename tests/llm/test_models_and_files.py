@@ -48,6 +48,30 @@ def test_spelled_out():
     assert toxicity.hidden_words("a b c words") == []
 
 
+@pytest.mark.parametrize("seen", ["idio7", "iiddiioott", "idi" + 25 * "o" + "t", "1d10t"])
+def test_ends_doubles_and_long_runs_are_restored(letters, seen):
+    assert toxicity.disguised(seen) and "idiot" in toxicity.restore(seen, letters)
+
+
+def test_spelled_out_words_are_parted(letters):
+    assert not toxicity.disguised("plain") and not toxicity.disguised("letter") and toxicity.spelled_out("1 2 3 4 5") == set()
+    assert toxicity.spelled_out("such i d.i-o t here") == {"idiot"}
+    for joined, word in (("aidiot", "idiot"), ("thehouseandidiot", "idiot"), ("the1d10tandhouse", "idiot")):
+        assert any(word in way for block in toxicity.readings(joined, letters) for way in block)
+    # a stretch of many blocks: the word is found wherever it stands
+    long = "thehouseandriver" * 20
+    for at in (0, 16 * 3, 16 * 10, 16 * 20):
+        found = toxicity.readings(long[:at] + "idiot" + long[at:], letters)
+        assert any("idiot" in way for block in found for way in block)
+
+
+def test_one_reading_counts_per_stretch(spark, letters):
+    model = toxicity.Model(letters, {"idiot$": 3.0, "idio": 3.0, "scum$": 3.0}, ([0.0, 4.0, 20.0], [0.01, 0.5, 0.99]))
+    texts = ["an idiot", "an i d i o t", "a i d.i o-t", "s c u m i d i o t", "scum idiot", "1 2 3 4 5 6", "i d i " + "o " * 3000 + "t"]
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_texts(frame(spark, texts), model).collect()}
+    assert score[0] == score[1] == score[2] and score[3] == score[4] > score[0] > score[5] and score[6] >= score[0]
+
+
 def test_disguised_words_score_like_plain_ones(spark, letters):
     model = toxicity.Model(letters, {"idiot$": 5.0}, ([0.0, 4.0, 20.0], [0.01, 0.9, 0.99]))
     texts = ["a plain idiot here", "a plain 1d10t here", "a plain i d i o t here", "a plain house", None, "", "x" * 200_000]
@@ -202,6 +226,27 @@ def test_secrets(spark):
     assert by_id[202] == [("dense", 4, 4 + len(key.rstrip()))] and by_id[203] == [("hex", 45, 85)] and by_id[204] == []
 
 
+def test_random_strings_are_dense(spark):
+    import string
+
+    import public_tokenizers
+
+    rng = random.Random(9)
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    letters, path = string.ascii_letters, "https://a.com/reset/password/confirmation/account/session/"
+    keys = [("", draw(letters, 32)) for _ in range(100)] + [(path, draw(letters + string.digits, 24)) for _ in range(100)]
+    keys += [("", draw(letters + string.digits, 40)) for _ in range(100)]
+    plain = ["getElementsByTagNameNSWithCallback", "internationalization/of/everything", "Donaudampfschifffahrtsgesellschaft", "com.apple.developer.networking"]
+    plain += ["2024-11-30T12-00-00", "haha" * 8, "release-2024-notes-version-12", "HTTP_REQUEST_HEADER_CONTENT_TYPE", "ACGTACGGTTACGATTACCAGT", "=" * 80, "x" * 200_000]
+    texts = [f"see {before}{key} now" for before, key in keys] + plain
+    spans = {}
+    for r in secrets.find_secrets(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect():
+        spans[r["doc_id"]] = [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "dense"]
+    for first in (0, 100, 200):
+        assert sum(any(keys[i][1] in s or s in keys[i][1] for s in spans[i]) for i in range(first, first + 100)) >= 95
+    assert all(not spans[len(keys) + i] for i in range(len(plain)))
+
+
 @tables
 def test_pipeline(spark):
     import corpus_pipeline as P
