@@ -81,6 +81,20 @@ class Encoder:
             kept[vocabulary, most] = Encoder(vocabulary, most)
         return kept[vocabulary, most]
 
+    @staticmethod
+    def forget() -> None:
+        """Drops what ``of`` keeps, and hands free memory back to the system."""
+        import ctypes
+        import gc
+
+        import tokenizers
+
+        vars(tokenizers).pop("docweave_encoders", None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
     def pieces(self, text: str) -> list[str]:
         """The first piece, then the blank-led ones without their blank."""
         if _NOT_PLAIN.search(text):
@@ -244,6 +258,7 @@ def write_tokens(
     text_col: str = "text",
     frame_ids: int = FRAME_IDS,
     cache_pieces: int = CACHE_PIECES,
+    keep_cache: bool = True,
 ) -> DataFrame:
     """Writes ``docs`` as token files, ascending by id, and returns the manifest.
 
@@ -253,6 +268,8 @@ def write_tokens(
     spread as well. Null texts count as empty (just the end id); null ids come first; an empty table
     writes no file; other columns are not read. ``folder`` must be reachable by all executors.
     ``cache_pieces`` bounds what a Python worker remembers, about 200 bytes a piece, twice.
+    It outlives the task unless ``keep_cache`` is false: then every task reads the vocabulary anew, and
+    workers that serve other stages as well start those without it.
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -267,10 +284,11 @@ def write_tokens(
         from pyspark import TaskContext
 
         gc.disable()  # millions of small strings, no cycles: the collector only costs time
+        encoder = writer = out = None
         try:
             part = TaskContext.get().partitionId()
             place, root = fs.FileSystem.from_uri(folder)
-            path, out, writer, encoder = f"part-{part:06d}-{uuid.uuid4().hex}.zst", None, None, None
+            path = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
             for batch in slices(batches, rows=2048, most_bytes=1 << 23):
                 if writer is None and batch.num_rows:
                     place.create_dir(root, recursive=True)
@@ -286,6 +304,9 @@ def write_tokens(
                 yield pa.RecordBatch.from_pydict(row)
         finally:
             gc.enable()
+            if not keep_cache:
+                encoder = writer = None  # noqa: F841
+                Encoder.forget()
 
     manifest = cut_lineage(rows.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
     # one row per file: as many rows as the exchange has partitions

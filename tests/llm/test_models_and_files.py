@@ -140,6 +140,8 @@ def test_token_files(spark):
     digests = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in token_store.token_digests(manifest, folder).collect()}
     assert digests == {(r["doc_id"], r["start"]): zlib.crc32(bytes(r["ids"])) for r in found}
     assert [r["doc_id"] for r in token_store.read_tokens(manifest, folder, [7]).collect()] == [7]
+    again = token_store.write_tokens(frame(spark, rows), vocabulary, folder, frame_ids=100, keep_cache=False)
+    assert again.select("part", "n_docs", "n_tokens", "start").collect() == manifest.select("part", "n_docs", "n_tokens", "start").collect()
     empty = token_store.write_tokens(frame(spark, []), vocabulary, folder)
     assert token_store.read_tokens(empty, folder).count() == 0
 
