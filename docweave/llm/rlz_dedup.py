@@ -1,10 +1,10 @@
-"""Substring dedup of words by relative Lempel-Ziv factors.
+"""Substring dedup of words against blocks of documents with smaller ids.
 
 Every stretch of every document is a reference block for the documents with larger ids, indexed by
-content-defined anchors (see ``anchors``). A document is parsed against the blocks that its anchors
-hit: from an anchor the factor runs as far right and left as a block with a smaller id agrees. Factors of
-``length`` words or more become duplicate spans. Where the longest factor of one block ends, a
-window may still be covered by another block: windows at factor boundaries are checked one by one.
+content-defined anchors (see ``anchors``). The blocks around one anchor are sorted, and from the
+common prefixes of neighbours, to the right and to the left, follows which windows of ``length`` words
+also start in a smaller id. The result is exact; it takes the place of a greedy parse into factors.
+Very long texts are read whole, in pieces.
 """
 
 from __future__ import annotations
