@@ -18,13 +18,14 @@ from docweave.functions import vectors as V
 from docweave.functions.binding import let
 from docweave.functions.filters import id_predicate, metadata_predicate
 from docweave.operators.topk import top_k
-from docweave.session import bounded, cut_lineage, estimated_bytes
+from docweave.session import bounded, cut_lineage, estimated_bytes, fresh_path
 
 SCORE_DIGITS = 8
 CELLS_PER_STEP = 4_000_000
 BROADCAST_BYTES = 64 << 20
 ASK_BLOCK_ROWS = 16_384
-HIT_BLOCK_ROWS = 32_768
+#: The part of the corpus that floors are worked out from.
+FLOOR_SAMPLE = 1 / 32
 WIDE_CORPUS_BYTES = 1 << 40
 BROADCAST_TERMS = 1_000_000
 
@@ -60,9 +61,10 @@ def _scores(questions: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarra
 class _Best:
     """The best ``k`` (score, id) pairs per question among the corpus rows seen so far."""
 
-    def __init__(self, questions: np.ndarray, k: int, metric: str):
+    def __init__(self, questions: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None):
         self.questions, self.k, self.metric = questions, k, metric
-        self.floor = np.full(len(questions), -np.inf)
+        # nothing below it is kept; it rises with the k-th score seen
+        self.floor = np.full(len(questions), -np.inf) if floor is None else floor.copy()
         self.kept: pa.Table | None = None
 
     def add(self, ids: pa.Array, corpus: np.ndarray) -> None:
@@ -114,15 +116,31 @@ def _hits(ask_ids: pa.Array, best: _Best) -> pa.Table:
     )
 
 
-def _scan(corpus: DataFrame, asks: pa.Table, k: int, metric: str, dimension: int, schema: T.StructType) -> DataFrame:
-    """One pass over the corpus against a small broadcast question matrix."""
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        _matrix(_column(asks, "ask_id"), _column(asks, "_vector"), dimension)
-    )
+def _ask_matrix(asks: DataFrame, dimension: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of a bounded question table, on the driver."""
+    rows = asks.toArrow()
+    return _matrix(_column(rows, "ask_id"), _column(rows, "_vector"), dimension)
+
+
+def _scan(
+    corpus: DataFrame,
+    questions: tuple[pa.Array, np.ndarray],
+    k: int,
+    metric: str,
+    schema: T.StructType,
+    floor: np.ndarray | None = None,
+) -> DataFrame:
+    """One pass over the corpus against a small broadcast question matrix.
+
+    ``floor`` holds a score per question that its k-th best row reaches: a task gives back
+    nothing below it.
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast((*questions, floor))
+    dimension = questions[1].shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask_ids, questions = shared.value
-        best = _Best(questions, k, metric)
+        ask_ids, matrix, least = shared.value
+        best = _Best(matrix, k, metric, least)
         for batch in batches:
             best.add(*_matrix(batch.column("hit_id"), batch.column("_vector"), dimension))
         if best.kept is not None:
@@ -131,42 +149,50 @@ def _scan(corpus: DataFrame, asks: pa.Table, k: int, metric: str, dimension: int
     return corpus.mapInArrow(run, schema)
 
 
-def _grid(
-    corpus: DataFrame, asks: DataFrame, n_asks: int, k: int, metric: str, dimension: int, schema: T.StructType
-) -> DataFrame:
-    """Block by block for question tables of any size: no side is broadcast or collected.
+def _by_score() -> list[Column]:
+    return [F.col("score").desc(), F.col("hit_id")]
 
-    Questions and corpus are cut into hash blocks of bounded size; each task scores one pair
-    of blocks and gives back only its best rows.
-    """
-    ask_blocks = max(1, -(-n_asks // ASK_BLOCK_ROWS))
-    hit_blocks = max(1, -(-corpus.select(F.lit(1)).count() // HIT_BLOCK_ROWS))
 
-    def block(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def _floors(sample: DataFrame, matrix: np.ndarray, k: int, metric: str, schema: T.StructType) -> np.ndarray:
+    """Per question the k-th best score in a part of the corpus; the k-th best of all is no lower.
 
-    left = corpus.withColumn("_hb", block("hit_id", hit_blocks)).withColumn(
-        "_ab", F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1)))
-    )
-    right = asks.withColumn("_ab", block("ask_id", ask_blocks)).withColumn(
-        "_hb", F.explode(F.sequence(F.lit(0), F.lit(hit_blocks - 1)))
-    )
+    A pair's score may differ in its last digit between two passes, so the floor lies a little below.
+    """
+    places = T.StructType([T.StructField("ask_id", T.LongType()), *schema.fields[1:]])
+    scored = _scan(sample, (pa.array(np.arange(len(matrix))), matrix), k, metric, places)
+    last = top_k(scored, ["ask_id"], _by_score(), k).where(F.col("rank") == k).select("ask_id", "score").toArrow()
+    floor = np.full(len(matrix), -np.inf)
+    floor[_column(last, "ask_id").to_numpy()] = _column(last, "score").to_numpy() - 10.0 ** (1 - SCORE_DIGITS)
+    return floor
 
-    def run(hits: pa.Table, questions: pa.Table) -> pa.Table:
-        ask_ids, matrix = _matrix(_column(questions, "ask_id"), _column(questions, "_vector"), dimension)
-        best = _Best(matrix, k, metric)
-        best.add(*_matrix(_column(hits, "hit_id"), _column(hits, "_vector"), dimension))
-        if best.kept is not None:
-            return _hits(ask_ids, best)
-        return pa.table(
-            {
-                "ask_id": ask_ids.slice(0, 0),
-                "hit_id": _column(hits, "hit_id").slice(0, 0),
-                "score": pa.array([], pa.float64()),
-            }
-        )
 
-    return left.groupBy("_ab", "_hb").cogroup(right.groupBy("_ab", "_hb")).applyInArrow(run, schema)
+def _passes(
+    corpus: DataFrame, asks: DataFrame, n_asks: int, k: int, metric: str, dimension: int, schema: T.StructType
+) -> DataFrame:
+    """Question tables of any size: one pass over the corpus per block of questions.
+
+    Vectors of the corpus are never shuffled. A block of questions first meets a sample of the
+    corpus, written once. The k-th best score in there is a floor for the pass over the whole
+    corpus, whose tasks then give back about ``k / FLOOR_SAMPLE`` rows per question together,
+    however many tasks there are. The sample settles how much is given back, not what comes out.
+    Questions are dealt to blocks in a written table, and the hits of each pass are written, so
+    that a pass depends on no earlier one.
+    """
+    spark = corpus.sparkSession
+    blocks = max(1, -(-n_asks // ASK_BLOCK_ROWS))
+    dealt, part, hits = (fresh_path(spark, label) for label in ("asks", "sample", "hits"))
+    # by id and vector, so that an id that many rows share (null, say) is no block of its own
+    block = F.pmod(F.xxhash64("ask_id", "_vector"), F.lit(blocks)).cast("int")
+    asks.withColumn("_block", block).repartition("_block").write.partitionBy("_block").parquet(dealt)
+    corpus.sample(FLOOR_SAMPLE, seed=0).write.parquet(part)
+    sample = spark.read.schema(corpus.schema).parquet(part)
+    kept = T.StructType([*asks.schema.fields, T.StructField("_block", T.IntegerType())])
+    for number in range(blocks):
+        own = spark.read.schema(kept).parquet(dealt).where(F.col("_block") == number)
+        questions = _ask_matrix(own.select("ask_id", "_vector"), dimension)
+        floor = _floors(sample, questions[1], k, metric, schema)
+        _scan(corpus, questions, k, metric, schema, floor).write.mode("append").parquet(hits)
+    return spark.read.schema(schema).parquet(hits)
 
 
 def nearest(
@@ -187,8 +213,9 @@ def nearest(
     is null or of another length take no part.
 
     Only ids and vectors enter the scan. Question tables whose vectors stay within
-    ``broadcast_bytes`` (checked before anything is shipped) meet the corpus in one pass
-    without a shuffle of the corpus; larger ones go block by block.
+    ``broadcast_bytes`` (checked before anything is shipped) meet the corpus in one pass; larger
+    ones block by block, at once rather than when the result is read, and from a corpus that is
+    best stored, as it is read once per block. The corpus is shuffled in neither case.
     """
     # wrong vectors are left out inside the scan: a filter here would be pushed below the
     # embedding of an unsaved corpus and compute it twice
@@ -199,12 +226,12 @@ def nearest(
     )
     bound = max(1, broadcast_bytes // (8 * dimension))
     if questions.select(F.lit(1)).limit(bound + 1).count() <= bound:
-        best = _scan(hits, asks.toArrow(), k, metric, dimension, schema)
+        best = _scan(hits, _ask_matrix(asks, dimension), k, metric, schema)
     else:
-        best = _grid(hits, asks, questions.count(), k, metric, dimension, schema)
+        best = _passes(hits, asks, questions.count(), k, metric, dimension, schema)
     # every scan task sends k rows per question: over very many tasks these merge in two rounds
     salt_on = "hit_id" if estimated_bytes(hits) > WIDE_CORPUS_BYTES else None
-    ranked = top_k(best, ["ask_id"], [F.col("score").desc(), F.col("hit_id")], k, "vector_rank", salt_on)
+    ranked = top_k(best, ["ask_id"], _by_score(), k, "vector_rank", salt_on)
     return ranked.select(
         F.col("ask_id").alias(question_id), F.col("hit_id").alias(corpus_id), "score", "vector_rank"
     )

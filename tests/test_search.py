@@ -52,7 +52,7 @@ def frames(spark, data):
 @pytest.mark.parametrize("k", [1, 7, 500])
 def test_nearest_is_exact(spark, data, metric, bytes_, k, monkeypatch):
     monkeypatch.setattr(S, "ASK_BLOCK_ROWS", 10)
-    monkeypatch.setattr(S, "HIT_BLOCK_ROWS", 40)
+    monkeypatch.setattr(S, "FLOOR_SAMPLE", 0.3)
     monkeypatch.setattr(S, "CELLS_PER_STEP", 300)
     questions, corpus = frames(spark, data)
     found = S.nearest(questions, corpus, k, metric, DIM, broadcast_bytes=bytes_)
@@ -82,6 +82,38 @@ def test_search_plan_has_no_cross_join(spark, data):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_floors_cut_what_tasks_give_back(spark, data, monkeypatch):
+    """Passes shuffle no vectors, and with floors their tasks give back fewer rows, none of them needed less."""
+    monkeypatch.setattr(S, "ASK_BLOCK_ROWS", 10)
+    monkeypatch.setattr(S, "FLOOR_SAMPLE", 0.5)
+    scan, passes = S._scan, []
+
+    def recorded(corpus, questions, k, metric, schema, floor=None):
+        out = scan(corpus, questions, k, metric, schema, floor)
+        if floor is not None:
+            bare = scan(corpus, questions, k, metric, schema)
+            passes.append((out._jdf.queryExecution().executedPlan().toString(), out.count(), bare.count(), len(questions[0])))
+        return out
+
+    monkeypatch.setattr(S, "_scan", recorded)
+    questions, corpus = frames(spark, data)
+    stored = S.fresh_path(spark, "vectors")
+    corpus.write.parquet(stored)
+    corpus = spark.read.parquet(stored)
+    found = S.nearest(questions, corpus, 4, "cosine", DIM, broadcast_bytes=0)
+    assert found.count() == 4 * 26
+    assert len(passes) == 3 and sum(rows for *_, rows in passes) == 26
+    assert all("Exchange" not in plan for plan, *_ in passes)
+    assert sum(cut for _, cut, *_ in passes) < 0.75 * sum(bare for _, _, bare, _ in passes)
+
+
+def test_passes_without_rows(spark, data):
+    questions, corpus = frames(spark, data)
+    assert S.nearest(questions, corpus.limit(0), 4, "cosine", DIM, broadcast_bytes=0).isEmpty()
+    wrong = questions.withColumn("embedding", F.slice("embedding", 1, 2))
+    assert S.nearest(wrong, corpus, 4, "cosine", DIM, broadcast_bytes=0).isEmpty()
+
+
 def test_unsaved_corpus_is_embedded_once(spark):
     chunks = S.embed_chunks(spark.createDataFrame([("c", "some text")], "chunk_id string, content string"))
     asked = S.embed_questions(spark.createDataFrame([("q", "text")], "question_id string, question string"))
