@@ -32,6 +32,9 @@ BROADCAST_TERMS = 1_000_000
 #: Up to so many hit chunks are looked up by literal keys.
 FEW_KEYS = 500
 
+#: Up to so many hits are kept in the plan itself rather than in a checkpoint.
+FEW_HITS = 2_000
+
 
 def _matrix(ids: pa.Array, lists: pa.Array, dimension: int) -> tuple[pa.Array, np.ndarray]:
     """Ids and vectors of the rows whose vector has the right length."""
@@ -274,9 +277,24 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length in tokens."""
-    return chunks.agg(
-        F.count("*").alias("n"), F.avg(F.size(X.search_tokens(F.col("content")))).alias("avg_len")
-    )
+    return merged_totals(length_statistics(chunks))
+
+
+def length_statistics(chunks: DataFrame) -> DataFrame:
+    """One row of sums that add up over parts of a corpus: chunks, those with a text, tokens."""
+    size = F.size(X.search_tokens(F.col("content")))
+    return chunks.agg(F.count("*").alias("n"), F.count(size).alias("sized"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("tokens"))
+
+
+def merged_terms(parts: DataFrame) -> DataFrame:
+    """:func:`term_statistics` of a corpus from those of its parts; what left it counts below zero."""
+    return parts.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") > 0)
+
+
+def merged_totals(parts: DataFrame) -> DataFrame:
+    """:func:`corpus_statistics` of a corpus from the :func:`length_statistics` of its parts."""
+    mean = F.try_divide(F.sum("tokens").cast("double"), F.sum("sized").cast("double"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), mean.alias("avg_len"))
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
@@ -302,13 +320,14 @@ def rerank(
     )
     # Counts of the terms asked for, one row each. A word that most questions hold would make
     # the join below lopsided, so the counts are broadcast as long as they are few.
-    counts = cut_lineage(
-        (terms if terms is not None else term_statistics(chunks)).join(
-            asked_terms.select("term").distinct(), "term", "left_semi"
-        )
-    )
+    known = few_keys(asked_terms, "term")
+    counted = terms if terms is not None else term_statistics(chunks)
+    if known is None:
+        counts = bounded(cut_lineage(counted.join(asked_terms.select("term").distinct(), "term", "left_semi")))
+    else:
+        counts = F.broadcast(held(counted.where(F.col("term").isin(known))))
     asked = (
-        asked_terms.join(bounded(counts), "term")
+        asked_terms.join(counts, "term")
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("_terms"))
     )
@@ -377,6 +396,11 @@ def few_keys(found: DataFrame, column: str) -> list[str] | None:
     return None if len(rows) > FEW_KEYS else [row[0] for row in rows]
 
 
+def held(few: DataFrame) -> DataFrame:
+    """A table known to be small, run now and kept in the plan."""
+    return few.sparkSession.createDataFrame(few.toArrow(), few.schema)
+
+
 def embed_questions(questions: DataFrame, settings: Settings = Settings(), embed=V.token_hash) -> DataFrame:
     """``(question_id, question, embedding)``; blank questions are left out."""
     return (
@@ -415,8 +439,14 @@ def retrieve(
     if "embedding" not in questions.columns:
         questions = embed_questions(questions, settings, embed)
     # a few rows per question, needed twice below: materialised so that the scan runs once
-    found = cut_lineage(nearest(questions, chunks, pool, settings.embed.metric, settings.embed.dimension))
-    hits = bounded(found)
+    found = nearest(questions, chunks, pool, settings.embed.metric, settings.embed.dimension)
+    most = FEW_HITS // max(1, pool)
+    if questions.select("question_id").limit(most + 1).count() <= most:
+        found = held(found)
+        hits = F.broadcast(found)
+    else:
+        found = cut_lineage(found)
+        hits = bounded(found)
     # text is read, and split into tokens, once per chunk that is hit at all
     keys = few_keys(found, "chunk_id")
     wanted_ids = bounded(found.select("chunk_id").distinct()) if keys is None else None
@@ -443,13 +473,18 @@ def retrieve(
         attached = cut.select("*", *(F.lit(None).cast("string").alias(name) for _, name in described))
     else:
         ids = hit(chunks.select("chunk_id", "document_id"))
-        side = documents.select(
+        owners = None if keys is None else few_keys(ids, "document_id")
+        titles = documents.select(
             F.col("doc_id").alias("document_id"),
             *(
                 (F.col(source) if source in documents.columns else F.lit(None).cast("string")).alias(name)
                 for source, name in described
             ),
-        ).join(bounded(ids.select("document_id").distinct()), "document_id", "left_semi")
+        )
+        if owners is None:
+            side = titles.join(bounded(ids.select("document_id").distinct()), "document_id", "left_semi")
+        else:
+            side = F.broadcast(titles.where(F.col("document_id").isin(owners)))
         # a left join keeps chunks without a document
         attached = cut.join(side, "document_id", "left")
     return attached.select(

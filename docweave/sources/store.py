@@ -4,7 +4,8 @@ An ingest writes one segment per table, ``batch=<id>``, and then a one-row commi
 takes the committed segments and, per document, its latest one: so a re-ingested document
 replaces its rows and all its chunks, the cost of an ingest depends on the batch alone, a
 committed segment is never overwritten, and a half-written one is never seen.
-``compact`` folds the segments into one.
+``compact`` folds the segments into one. A segment carries its own term and length statistics, which
+add up to those of the corpus.
 
 Several writers may work on one store. A writer claims its segment id by making a file that must not
 exist yet, so no two share an id. A full segment lists the commits that it replaces; what others
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from docweave.config import Settings
 from docweave.functions.vectors import normalise
+from docweave.operators import search
 from docweave.operators.metrics import crawl_report, index_stats, system_stats
-from docweave.operators.search import corpus_statistics, term_statistics
 from docweave.schemas import CHUNKS, DOCUMENTS, FETCH_LOG
 from docweave.session import bounded, cut_lineage, is_missing
 
@@ -38,12 +39,15 @@ COMMITS = T.StructType(
     ]
 )
 _BATCH = T.StructField("batch", T.LongType())
+TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType())])
+LENGTHS = T.StructType([T.StructField(name, T.LongType()) for name in ("n", "sized", "tokens")])
 
 
 class CorpusStore:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
         self._stale: tuple[tuple[int, ...], DataFrame] | None = None
+        self._left: tuple[tuple[int, ...], DataFrame, DataFrame] | None = None
 
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
@@ -170,6 +174,7 @@ class CorpusStore:
         if callable(chunks):
             chunks = chunks(self.spark.read.schema(DOCUMENTS).parquet(path))
         chunks.select(*CHUNKS.names).write.mode("overwrite").parquet(self._path("chunks", f"batch={batch}"))
+        self._count_terms(batch)
         row = self.spark.range(1).select(
             F.lit(batch).cast("long").alias("batch"),
             F.lit("full" if full else "delta").alias("kind"),
@@ -216,25 +221,64 @@ class CorpusStore:
             self.documents(), chunks.withColumn("embedding", vector.cast("array<float>")), full=True, replaces=replaces
         )
 
-    def analyse(self) -> None:
-        """Stores term and length statistics of the present corpus, for reranking.
+    def _count_terms(self, batch: int) -> None:
+        """Term and length statistics of one segment, sorted by term within its files for look-ups."""
+        text = self._segments("chunks", CHUNKS, [batch]).select("content")
+        terms = search.term_statistics(text).sortWithinPartitions("term")
+        terms.write.mode("overwrite").parquet(self._path("segment_terms", f"batch={batch}"))
+        search.length_statistics(text).write.mode("overwrite").parquet(self._path("segment_lengths", f"batch={batch}"))
+
+    def _counted(self, table: str, schema: T.StructType, batches: list[int]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(self._path(table, f"batch={b}") for b in batches))
+
+    def _withdrawn(self, batches: list[int]) -> tuple[DataFrame, DataFrame]:
+        """Statistics of the chunks whose documents a later segment replaced, worked out once per set of segments.
 
-        Without them, or once more has been ingested, a query works them out itself in one
-        more pass over the text.
+        Documents that were replaced are looked up by key while they are few; otherwise the text of
+        the segments is read once.
         """
-        chunks, at = self.chunks(), f"batch={self.last_batch()}"
-        term_statistics(chunks).write.mode("overwrite").parquet(self._path("terms", at))
-        corpus_statistics(chunks).write.mode("overwrite").parquet(self._path("totals", at))
+        if self._left is None or self._left[0] != tuple(batches):
+            stale = self._superseded(batches).withColumnRenamed("_doc", "document_id")
+            rows = self._segments("chunks", CHUNKS, batches).select("document_id", "batch", "content")
+            keys = search.few_keys(stale, "document_id")
+            if keys is not None:
+                rows = rows.where(F.col("document_id").isin(keys))
+            gone = rows.join(stale, ["document_id", "batch"])
+            terms = search.term_statistics(gone).withColumn("df", -F.col("df"))
+            lengths = search.length_statistics(gone).select(*((-F.col(name)).alias(name) for name in LENGTHS.names))
+            self._left = (tuple(batches), cut_lineage(terms), cut_lineage(lengths))
+        return self._left[1:]
+
+    def analyse(self) -> None:
+        """Adds the statistics of segments that were committed without them."""
+        for batch in self._visible():
+            try:
+                self._counted("segment_lengths", LENGTHS, [batch])
+            except AnalysisException as error:
+                if not is_missing(error):
+                    raise
+                self._count_terms(batch)
 
     def statistics(self) -> dict[str, DataFrame]:
-        """``terms`` and ``totals`` for :func:`docweave.operators.search.rerank`, if up to date."""
-        at = f"batch={self.last_batch()}"
+        """``terms`` and ``totals`` of the present corpus for :func:`docweave.operators.search.rerank`.
+
+        They are the sums over the visible segments less what was replaced; the text is not read. Empty
+        for an empty store, or if a segment has none (see :meth:`analyse`).
+        """
+        batches = self._visible()
+        if not batches:
+            return {}
         try:
-            return {name: self.spark.read.parquet(self._path(name, at)) for name in ("terms", "totals")}
+            terms = self._counted("segment_terms", TERMS, batches)
+            lengths = self._counted("segment_lengths", LENGTHS, batches)
         except AnalysisException as error:
             if is_missing(error):
                 return {}
             raise
+        if len(batches) > 1:
+            gone_terms, gone_lengths = self._withdrawn(batches)
+            terms, lengths = terms.unionByName(gone_terms), lengths.unionByName(gone_lengths)
+        return {"terms": search.merged_terms(terms), "totals": search.merged_totals(lengths)}
 
     def stats(self) -> DataFrame:
         return index_stats(self.chunks(), self.documents(), self.settings)

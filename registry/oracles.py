@@ -414,6 +414,8 @@ FROM pair_ranks WHERE rank <= 12 AND chunk_id IN {LONG} QUALIFY row_number() OVE
 ORACLES["rerank_bm25"] = f"{searched(15)}, {BM25} SELECT question_id, rank, chunk_id, score, vector_rank FROM pair_ranks WHERE rank <= 5"
 ORACLES["retrieve"] = f"""{searched(15)}, {BM25} SELECT question_id, rank, chunk_id, score, title AS doc_title, url AS doc_url FROM pair_ranks
 JOIN chunks USING (chunk_id) LEFT JOIN docs ON doc_id = document_id WHERE rank <= 5"""
+# what the last segment replaces is the same text, so the corpus is that of one segment
+ORACLES["retrieve_segments"] = ORACLES["retrieve"]
 ORACLES["search_documents"] = f"""{searched(15)}, {BM25}, firsts AS (SELECT question_id, document_id AS doc_id, min(rank) AS first_rank FROM pair_ranks
 JOIN chunks USING (chunk_id) WHERE rank <= 10 GROUP BY ALL)
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY first_rank) AS position, doc_id, url, first_rank FROM firsts JOIN docs USING (doc_id)"""

@@ -590,6 +590,16 @@ def retrieve(spark, d):
     return found.select("question_id", "rank", "chunk_id", "score", "doc_title", "doc_url")
 
 
+@query("retrieve_segments")
+def retrieve_segments(spark, d):
+    """Retrieval with term statistics added up over three segments, of which the last replaces a third of the documents."""
+    pages, store = pages_of(spark, d), CorpusStore(spark, fresh_path(spark, "store"), PLAIN)
+    for rows in ("page_id % 2 = 0", "page_id % 2 = 1", "page_id % 3 = 0"):
+        store.write(relevant_documents(pages.where(rows), PLAIN), lambda stored: embedded_chunks(stored, PLAIN))
+    found = S.retrieve(user_questions(spark, d), store.chunks(), store.documents(), **store.statistics())
+    return found.select("question_id", "rank", "chunk_id", "score", "doc_title", "doc_url")
+
+
 @query("search_documents")
 def search_documents(spark, d):
     store = stored_corpus(spark, d)

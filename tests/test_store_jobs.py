@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docweave import DocumentEngine, Settings
 from docweave.operators import metrics as M
+from docweave.operators import search as S
 from docweave.operators.upsert import latest, replace_chunks, upsert_documents
 from docweave.schemas import CHUNKS, DOCUMENTS
 from docweave.sources import pages as SP
@@ -15,6 +16,7 @@ from docweave.streaming.ingest import ingest_stream, page_stream
 from docweave.streaming.runlog import log_stream, rolling_counts, write_counts
 
 PAGES = "page_id long, url string, html string"
+WARM_JOBS = 30
 
 
 def html(word, links=""):
@@ -66,6 +68,59 @@ def test_engine_end_to_end(spark, engine, tmp_path):
         engine.query([])
 
 
+def test_statistics_add_up_over_segments(spark, tmp_path):
+    store = CorpusStore(spark, f"file://{tmp_path}/store")
+    assert store.statistics() == {}
+
+    def put(texts, **options):
+        documents = spark.createDataFrame([{"doc_id": n} for n in texts], DOCUMENTS)
+        rows = [{"chunk_id": f"{n}{i}", "document_id": n, "content": c} for n, parts in texts.items() for i, c in enumerate(parts)]
+        return store.write(documents, spark.createDataFrame(rows, CHUNKS), **options)
+
+    def check():
+        told, chunks = store.statistics(), store.chunks()
+        rows = lambda df: sorted(tuple(r) for r in df.collect())
+        assert rows(told["terms"]) == rows(S.term_statistics(chunks))
+        assert rows(told["totals"]) == rows(S.corpus_statistics(chunks))
+
+    put({"a": ["alpha beta", "beta beta gamma"], "b": ["alpha", None, ""]})
+    check()
+    put({"a": ["delta"], "c": ["gamma gamma alpha"]})
+    check()
+    put({"b": [], "c": ["beta"], "a": ["delta epsilon"]})
+    check()
+    store.compact()
+    check()
+    put({"c": ["zeta"]})
+    check()
+    store.clear()
+    check()
+
+
+def test_segments_without_statistics(spark, tmp_path, monkeypatch):
+    store = CorpusStore(spark, f"file://{tmp_path}/store")
+    chunks = spark.createDataFrame([{"chunk_id": "a0", "document_id": "a", "content": "alpha beta"}], CHUNKS)
+    with monkeypatch.context() as without:
+        without.setattr(CorpusStore, "_count_terms", lambda self, batch: None)
+        store.write(spark.createDataFrame([{"doc_id": "a"}], DOCUMENTS), chunks)
+    assert store.statistics() == {}
+    store.analyse()
+    assert {r["term"] for r in store.statistics()["terms"].collect()} == {"alpha", "beta"}
+
+
+def test_a_warm_question_takes_few_jobs(spark, engine):
+    for part in range(3):
+        engine.ingest(table(spark, [(i, f"http://x/{i}", html(f"word{i}")) for i in range(part, 8, 2)]))
+    engine.retrieve(["word3 text"]).collect()
+    spark.sparkContext.setJobGroup("warm", "one question")
+    try:
+        assert engine.retrieve(["word3 text"]).first()["doc_url"] == "http://x/3"
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("warm"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < WARM_JOBS
+
+
 def test_hit_text_is_read_by_key(spark, engine):
     engine.ingest(table(spark, [(i, f"http://x/{i}", html(f"word{i}")) for i in range(6)]))
     plan = engine.retrieve(["word3 text"])._jdf.queryExecution().optimizedPlan().toString()
