@@ -119,9 +119,8 @@ def _hits(ask_ids: pa.Array, best: _Best) -> pa.Table:
     )
 
 
-def _ask_matrix(asks: DataFrame, dimension: int) -> tuple[pa.Array, np.ndarray]:
+def _ask_matrix(rows: pa.Table, dimension: int) -> tuple[pa.Array, np.ndarray]:
     """Ids and vectors of a bounded question table, on the driver."""
-    rows = asks.toArrow()
     return _matrix(_column(rows, "ask_id"), _column(rows, "_vector"), dimension)
 
 
@@ -192,7 +191,7 @@ def _passes(
     kept = T.StructType([*asks.schema.fields, T.StructField("_block", T.IntegerType())])
     for number in range(blocks):
         own = spark.read.schema(kept).parquet(dealt).where(F.col("_block") == number)
-        questions = _ask_matrix(own.select("ask_id", "_vector"), dimension)
+        questions = _ask_matrix(own.select("ask_id", "_vector").toArrow(), dimension)
         floor = _floors(sample, questions[1], k, metric, schema)
         _scan(corpus, questions, k, metric, schema, floor).write.mode("append").parquet(hits)
     return spark.read.schema(schema).parquet(hits)
@@ -228,8 +227,9 @@ def nearest(
         [asks.schema["ask_id"], hits.schema["hit_id"], T.StructField("score", T.DoubleType())]
     )
     bound = max(1, broadcast_bytes // (8 * dimension))
-    if questions.select(F.lit(1)).limit(bound + 1).count() <= bound:
-        best = _scan(hits, _ask_matrix(asks, dimension), k, metric, schema)
+    few = asks.limit(bound + 1).toArrow()
+    if few.num_rows <= bound:
+        best = _scan(hits, _ask_matrix(few, dimension), k, metric, schema)
     else:
         best = _passes(hits, asks, questions.count(), k, metric, dimension, schema)
     # every scan task sends k rows per question: over very many tasks these merge in two rounds
@@ -320,19 +320,21 @@ def rerank(
     )
     # Counts of the terms asked for, one row each. A word that most questions hold would make
     # the join below lopsided, so the counts are broadcast as long as they are few.
-    known = few_keys(asked_terms, "term")
+    few_terms = asked_terms.limit(FEW_KEYS + 1).toArrow()
+    known = pc.unique(_column(few_terms, "term")).to_pylist() if few_terms.num_rows <= FEW_KEYS else None
     counted = terms if terms is not None else term_statistics(chunks)
     if known is None:
         counts = bounded(cut_lineage(counted.join(asked_terms.select("term").distinct(), "term", "left_semi")))
     else:
-        counts = F.broadcast(held(counted.where(F.col("term").isin(known))))
+        asked_terms = questions.sparkSession.createDataFrame(few_terms, asked_terms.schema)
+        counts = F.broadcast(counted.where(F.col("term").isin(known)))
     asked = (
         asked_terms.join(counts, "term")
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("_terms"))
     )
     # short question texts go to the candidates; otherwise the candidates are shuffled
-    if asked_terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    if known is not None or asked_terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         asked = F.broadcast(asked)
     stats = (totals if totals is not None else corpus_statistics(chunks)).select(F.struct("n", "avg_len"))
     scored = (
@@ -396,11 +398,6 @@ def few_keys(found: DataFrame, column: str) -> list[str] | None:
     return None if len(rows) > FEW_KEYS else [row[0] for row in rows]
 
 
-def held(few: DataFrame) -> DataFrame:
-    """A table known to be small, run now and kept in the plan."""
-    return few.sparkSession.createDataFrame(few.toArrow(), few.schema)
-
-
 def embed_questions(questions: DataFrame, settings: Settings = Settings(), embed=V.token_hash) -> DataFrame:
     """``(question_id, question, embedding)``; blank questions are left out."""
     return (
@@ -442,13 +439,15 @@ def retrieve(
     found = nearest(questions, chunks, pool, settings.embed.metric, settings.embed.dimension)
     most = FEW_HITS // max(1, pool)
     if questions.select("question_id").limit(most + 1).count() <= most:
-        found = held(found)
-        hits = F.broadcast(found)
+        rows = found.toArrow()
+        found = hits = F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
+        # at most FEW_HITS of them, which the file scan takes as literals too
+        keys = pc.unique(_column(rows, "chunk_id")).to_pylist()
     else:
         found = cut_lineage(found)
         hits = bounded(found)
+        keys = few_keys(found, "chunk_id")
     # text is read, and split into tokens, once per chunk that is hit at all
-    keys = few_keys(found, "chunk_id")
     wanted_ids = bounded(found.select("chunk_id").distinct()) if keys is None else None
 
     def hit(rows: DataFrame) -> DataFrame:

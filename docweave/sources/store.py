@@ -48,6 +48,7 @@ class CorpusStore:
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
         self._stale: tuple[tuple[int, ...], DataFrame] | None = None
         self._left: tuple[tuple[int, ...], DataFrame, DataFrame] | None = None
+        self._totals: tuple[tuple[int, ...], DataFrame] | None = None
 
     def _path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
@@ -278,7 +279,11 @@ class CorpusStore:
         if len(batches) > 1:
             gone_terms, gone_lengths = self._withdrawn(batches)
             terms, lengths = terms.unionByName(gone_terms), lengths.unionByName(gone_lengths)
-        return {"terms": search.merged_terms(terms), "totals": search.merged_totals(lengths)}
+        if self._totals is None or self._totals[0] != tuple(batches):
+            # one row, kept in the plan
+            totals = search.merged_totals(lengths)
+            self._totals = (tuple(batches), self.spark.createDataFrame(totals.toArrow(), totals.schema))
+        return {"terms": search.merged_terms(terms), "totals": self._totals[1]}
 
     def stats(self) -> DataFrame:
         return index_stats(self.chunks(), self.documents(), self.settings)

@@ -16,7 +16,7 @@ from docweave.streaming.ingest import ingest_stream, page_stream
 from docweave.streaming.runlog import log_stream, rolling_counts, write_counts
 
 PAGES = "page_id long, url string, html string"
-WARM_JOBS = 30
+WARM_JOBS = 27
 
 
 def html(word, links=""):
