@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from docweave.config import ChunkSettings
 from docweave.operators.chunk import chunk_documents, pack_words, window_pieces
+from docweave.operators.extract import build_documents
 
 
 def by_hand(text, size, overlap):
@@ -97,3 +98,11 @@ def test_packing_is_planned_once(spark):
     df = spark.createDataFrame([("1", "a b")], "doc_id string, content string")
     plan = chunk_documents(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_chunks_of_unsaved_documents(spark):
+    """Pages are extracted and packed in one plan, whatever their text is made with."""
+    html = "<title>A &amp; B</title><article>" + "salt &amp; pepper " * 20 + "</article>"
+    pages = spark.createDataFrame([(0, "http://a/x", html), (1, "http://a/y", None)], "page_id long, url string, html string")
+    found = chunk_documents(build_documents(pages)).collect()
+    assert [(r["document_title"], r["content"]) for r in found] == [("A  B", " ".join(["salt & pepper"] * 20))]
