@@ -233,3 +233,33 @@ def test_model_embedder_plugs_in(small):
     # 'alpha?' counts (2, 0); the chunks of d1 count (6, 2) and (6, 1)
     assert ranks(found)["q1"] == ["d1_chunk_1"]
     assert found.where("question_id = 'q1'").first()["score"] == pytest.approx(6 / 37**0.5, abs=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e12])
+def test_short_products_rule_out_most_pairs(metric, scale, monkeypatch):
+    """Most pairs are settled in single precision; ties, zero questions and vectors of any size end as by brute force."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    corpus = np.float32(rng.normal(size=(3000, DIM)) * scale).astype(float)
+    corpus[1000:1400] = corpus[7]
+    corpus[40] = 0.0
+    questions = np.vstack([corpus[:60], np.zeros((2, DIM)), corpus[5:8] + 1e-4 * scale])
+    scored, one = [], S._scored
+    monkeypatch.setattr(S, "_scored", lambda metric, raw: scored.append(raw.size) or one(metric, raw))
+    monkeypatch.setattr(S, "CELLS_PER_STEP", 200 * len(questions))
+    best = S._Best(questions, 4, metric)
+    for at in range(0, 3000, 700):
+        best.add(pa.array(np.arange(at, min(at + 700, 3000))), corpus[at : at + 700])
+    kept = best.merge().to_pydict()
+    for ask, question in enumerate(questions):
+        if metric == "cosine":
+            lengths = np.linalg.norm(corpus, axis=1) * np.linalg.norm(question)
+            exact = np.round(np.divide(corpus @ question, lengths, out=np.zeros(3000), where=lengths > 0), 8) + 0.0
+        else:
+            exact = np.round(1 / (1 + ((corpus - question) ** 2).sum(axis=1)), 8)
+        wanted = np.lexsort((np.arange(3000), -exact))[:4].tolist()
+        assert [i for a, i in zip(kept["ask"], kept["id"], strict=True) if a == ask] == wanted
+    if scale == 1.0:
+        assert sum(scored) < 0.3 * 3000 * len(questions)
