@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from docweave.functions.text import search_tokens
 
 VECTOR = T.ArrayType(T.FloatType())
+# Rows of a batch that are counted together.
+SLICE = 256
 
 
 def norm(vector: Column) -> Column:
@@ -49,12 +51,11 @@ def token_hash(text: Column, dimension: int = 384) -> Column:
     """Unit vector of token counts, tokens hashed to ``dimension`` buckets; blank gives zeros.
 
     A stand-in for a sentence model, with other rankings than a trained model's. Tokens are
-    split JVM-side; one Arrow call per batch hashes the distinct tokens and counts them with
-    a single ``bincount``.
+    split JVM-side; an Arrow call hashes the distinct tokens of a slice of its batch and counts them
+    with a single ``bincount``.
     """
 
-    @F.arrow_udf(VECTOR)
-    def embed(tokens: pa.Array) -> pa.Array:
+    def embed_slice(tokens: pa.Array) -> np.ndarray:
         rows = len(tokens)
         lengths = np.asarray(tokens.value_lengths().fill_null(0))
         coded = tokens.flatten().dictionary_encode()
@@ -68,8 +69,16 @@ def token_hash(text: Column, dimension: int = 384) -> Column:
         counts = np.bincount(cells, minlength=rows * dimension).reshape(rows, dimension).astype(np.float64)
         lengths2 = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = counts / np.where(lengths2 == 0, 1.0, lengths2)
-        offsets = np.arange(rows + 1, dtype=np.int32) * dimension
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel().astype(np.float32)))
+        return unit.astype(np.float32)
+
+    @F.arrow_udf(VECTOR)
+    def embed(tokens: pa.Array) -> pa.Array:
+        # a batch may hold thousands of long texts, so its counts are made for a few rows at a time
+        unit = np.empty((len(tokens), dimension), np.float32)
+        for at in range(0, len(tokens), SLICE):
+            unit[at : at + SLICE] = embed_slice(tokens.slice(at, SLICE))
+        offsets = np.arange(len(tokens) + 1, dtype=np.int32) * dimension
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
 
     return embed(F.coalesce(search_tokens(text), F.array().cast("array<string>")))
 
