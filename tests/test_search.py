@@ -263,3 +263,14 @@ def test_short_products_rule_out_most_pairs(metric, scale, monkeypatch):
         assert [i for a, i in zip(kept["ask"], kept["id"], strict=True) if a == ask] == wanted
     if scale == 1.0:
         assert sum(scored) < 0.3 * 3000 * len(questions)
+
+
+def test_hash_vectors_are_made_in_slices(spark, monkeypatch):
+    """Rows of one batch are counted a few at a time, with the same vectors; nulls and blanks give zeros."""
+    texts = [(i, t) for i, t in enumerate(["salt pepper", None, "  ", "salt salt", "pepper"])]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    made = lambda: [r["v"] for r in df.select("id", V.token_hash(F.col("text"), 8).alias("v")).orderBy("id").collect()]
+    whole = made()
+    monkeypatch.setattr(V, "SLICE", 2)
+    assert made() == whole and not any(whole[1]) and not any(whole[2])
+    assert sum(x * x for x in whole[3]) == pytest.approx(1.0)
