@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docweave.llm import decontaminate, near_copies, near_index
+from docweave.llm.simhash import gray_rank
 
 DOCS = "doc_id long, text string, source string"
 
@@ -134,3 +135,35 @@ def test_leaks_of_repeated_items(spark):
     items = [(1, ITEM), (1, ITEM), (2, "A train leaves the old town at noon and is late"), (2, "other words stand here under the same number as before"), (None, "an item that has no number at all is here")]
     found = leaked(spark, ["so " + ITEM, "so a train leaves the old town at noon and is late", "well, an item that has no number at all is here", None], items)
     assert found == {0: [1], 1: [2], 2: [None], 3: []}
+
+
+def test_predecessors_of_other_groups():
+    """All of them within the distance, against brute force, and none of the same group."""
+    rng = np.random.default_rng(3)
+    n = 600
+    bits = rng.integers(0, 1 << 63, 6, "u8")[rng.integers(0, 6, n)] ^ (np.uint64(1) << rng.integers(0, 63, n, "u8"))
+    cell, group, size = np.sort(rng.integers(0, 4, n)), rng.integers(0, 9, n), rng.integers(8, 12, n)
+    order = np.lexsort((gray_rank(bits), cell))
+    bits, group, size = bits[order], group[order], size[order]
+    found = [(a, b, d) for part in near_index._before(cell, bits, size, 17, 4, group) for a, b, d in zip(*map(np.ndarray.tolist, part))]
+    apart = np.bitwise_count(bits[:, None] ^ bits[None])
+    near = (cell[:, None] == cell[None]) & (group[:, None] != group[None]) & (apart <= 17) & (np.arange(n)[None] < np.arange(n)[:, None])
+    near &= 5 * np.minimum(size[:, None], size[None]) >= 4 * np.maximum(size[:, None], size[None])
+    assert sorted(found) == [(a, b, int(apart[a, b])) for a, b in np.argwhere(near).tolist()]
+
+
+def test_nearer_text_hides_no_link(spark):
+    """Copies that are nearer to each other than to the text they are all similar to."""
+    rng = random.Random(1)
+    rows = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows.append(" ".join(base))
+        for _ in range(6):
+            at, span = rng.randrange(340), rng.randrange(20, 70)
+            rows.append(" ".join([*base[:at], *(f"x{rng.randrange(10**6)}" for _ in range(span)), *base[at + span :]]))
+    nodes = spark.createDataFrame(list(enumerate(rows)), "node long, text string")
+    exact, found = ({r["node"]: r["root"] for r in way.groups(nodes).collect()} for way in (near_copies, near_index))
+    merges = [len(named) - len(set(named.values())) for named in (exact, found)]
+    assert merges[1] >= 0.97 * merges[0]
+    assert all(exact[node] == exact[root] for node, root in found.items())
