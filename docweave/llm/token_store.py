@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docweave.llm.common import slices, texts_of
+from docweave.llm.common import hand_back, slices, texts_of
 from docweave.session import cut_lineage, fresh_path
 
 FRAME_IDS = 1 << 16
@@ -84,16 +84,13 @@ class Encoder:
     @staticmethod
     def forget() -> None:
         """Drops what ``of`` keeps, and hands free memory back to the system."""
-        import ctypes
         import gc
 
         import tokenizers
 
         vars(tokenizers).pop("docweave_encoders", None)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        hand_back()
 
     def pieces(self, text: str) -> list[str]:
         """The first piece, then the blank-led ones without their blank."""

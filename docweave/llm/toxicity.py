@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import slices, texts_of
+from docweave.llm.common import slices, texts_of, tidy
 from docweave.session import cut_lineage
 
 # Letter classes of the model: 0 for everything that ends a word, then a-z, the Latin-1 small letters, any other letter.
@@ -74,13 +74,13 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, "i8")
-        for batch in slices(batches, most_bytes=1 << 20):
+        for batch in slices(batches, most_bytes=1 << 18):
             c = classes("  " + "  ".join(texts_of(batch)).lower() + "  ")
             total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["code", "n"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text_col].alias("text")).mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def letter_costs(counts: DataFrame) -> np.ndarray:
@@ -326,7 +326,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "restored"])
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, score double, restored array<string>")
+    return chosen.mapInArrow(tidy(run), "doc_id long, score double, restored array<string>")
 
 
 def rows_below(docs: DataFrame, model: Model, most: float, text_col: str = "text") -> DataFrame:
@@ -338,7 +338,7 @@ def rows_below(docs: DataFrame, model: Model, most: float, text_col: str = "text
         for batch in slices(batches):
             yield batch.filter(pa.array([probability(evidence(t)[0], curve) < most for t in texts_of(batch, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fit(
