@@ -15,7 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import accumulate, chain, islice, pairwise
 from typing import BinaryIO
 
 import numpy as np
@@ -29,7 +29,9 @@ from docweave.session import cut_lineage, fresh_path
 
 FRAME_IDS = 1 << 16
 END_ID = 0
-CACHE_PIECES = 800_000
+CACHE_PIECES = 300_000
+#: Longer pieces are not remembered: a count of pieces bounds no bytes else.
+CACHED_LETTERS = 256
 
 # Fixed values of the zstandard skippable frame and seekable formats.
 INDEX_MAGIC = 0x184D2A50
@@ -45,6 +47,7 @@ _MARKED = re.compile(r"([^\W\d_]+)([.,]?)(?:\n([^\W\d_]+)([.,]?))?")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Byte-level vocabularies write a byte that is not printable as the next letter from 256 on.
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BLANK = chr(_BYTE_LETTERS[0x20])
 
 
 class Encoder:
@@ -52,8 +55,8 @@ class Encoder:
 
     Such a vocabulary never merges across the start of a blank-led word, nor between letters and the
     full stop, comma or single line break after them, so a text's ids are those of its pieces in
-    order. Ids of pieces are remembered in two generations of ``most`` pieces; only new ones go
-    through the tokenizer.
+    order. Ids of pieces are remembered in two generations of ``most`` pieces, and what a single
+    call adds; only new ones go through the tokenizer.
     """
 
     def __init__(self, vocabulary: str, most: int = CACHE_PIECES):
@@ -81,14 +84,14 @@ class Encoder:
             kept[vocabulary, most] = Encoder(vocabulary, most)
         return kept[vocabulary, most]
 
-    @staticmethod
-    def forget() -> None:
-        """Drops what ``of`` keeps, and hands free memory back to the system."""
-        import gc
+    def forget(self) -> None:
+        """Drops the remembered pieces, and hands free memory back to the system.
 
-        import tokenizers
+        The tokenizer stays: one that is read anew for every task leaves some 6 MB behind each time.
+        """
+        import gc
 
-        vars(tokenizers).pop("docweave_encoders", None)
+        self.known, self.older, self.bare = {}, {}, {}
         gc.collect()
         hand_back()
 
@@ -103,35 +106,37 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
-    def _unit(self, unit: str) -> bytes:
-        """Ids of one unit of the split (letters with or without a blank, one mark), straight from the merges."""
-        if not unit.isascii() or unit[0] in " \n":
-            unit = unit.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        ids = [token.id for token in self.model.tokenize(unit)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units of the split (letters with or without a blank, one mark), straight from the merges."""
+        tokenize, found = self.model.tokenize, []
+        for unit in units:
+            if not unit.isascii() or unit[0] == "\n":
+                unit = unit.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            elif unit[0] == " ":
+                unit = _BLANK + unit[1:]
+            found.append([token.id for token in tokenize(unit)])
+        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = list(accumulate((4 * len(ids) for ids in found), initial=0))
+        return [flat[start:end] for start, end in pairwise(ends)]
 
     def _learn(self, new: list[str]) -> None:
         """Adds blank-led pieces: words with marks by their units, anything else whole."""
-        known, bare, unit, whole = self.known, self.bare, self._unit, []
+        known, bare, words, marked, whole = self.known, self.bare, [], [], []
         if len(bare) > self.most:
             bare.clear()
         for piece in new:
-            match = _MARKED.fullmatch(piece)
-            if not match:
+            if piece.isalpha():
+                words.append(piece)
+            elif len(piece) <= CACHED_LETTERS and (match := _MARKED.fullmatch(piece)) and match[1].isalpha() and (not match[3] or match[3].isalpha()):
+                marked.append((piece, match[1], [part for part in (match[2], match[3] and "\n", match[3], match[4]) if part]))
+            else:
                 whole.append(piece)
-                continue
-            word, mark, following, end = match.groups()
-            if not word.isalpha() or (following and not following.isalpha()):
-                whole.append(piece)
-                continue
-            if (ids := known.get(word)) is None:
-                ids = known[word] = unit(" " + word)
-            for part in (mark, following and "\n", following, end):
-                if part:
-                    if (more := bare.get(part)) is None:
-                        more = bare[part] = unit(part)
-                    ids += more
-            known[piece] = ids
+        words += {word for _, word, _ in marked}.difference(known, words)
+        known.update(zip(words, self._units([" " + w for w in words]), strict=True))
+        parts = list({part for *_, parts in marked for part in parts if part not in bare})
+        bare.update(zip(parts, self._units(parts), strict=True))
+        for piece, word, parts in marked:
+            known[piece] = b"".join([known[word], *map(bare.__getitem__, parts)])
         known.update(zip(whole, self._ids([" " + p for p in whole]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -139,15 +144,18 @@ class Encoder:
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for piece in set().union(*split):
-            if piece not in known:
-                if (ids := older.get(piece)) is None:
-                    new.append(piece)
-                else:
-                    known[piece] = ids
+        for piece in set().union(*split).difference(known):
+            if (ids := older.get(piece)) is None:
+                new.append(piece)
+            else:
+                known[piece] = ids
         self._learn(new)
         firsts, end, of = self._ids([p[0] for p in split]), struct.pack("<I", END_ID), known.__getitem__
-        return [b"".join([first, *map(of, islice(p, 1, None)), end]) for first, p in zip(firsts, split, strict=True)]
+        found = [b"".join([first, *map(of, islice(p, 1, None)), end]) for first, p in zip(firsts, split, strict=True)]
+        for piece in new:
+            if len(piece) > CACHED_LETTERS:
+                del known[piece]
+        return found
 
 
 class FrameWriter:
@@ -255,7 +263,7 @@ def write_tokens(
     text_col: str = "text",
     frame_ids: int = FRAME_IDS,
     cache_pieces: int = CACHE_PIECES,
-    keep_cache: bool = True,
+    keep_cache: bool = False,
 ) -> DataFrame:
     """Writes ``docs`` as token files, ascending by id, and returns the manifest.
 
@@ -264,9 +272,9 @@ def write_tokens(
     of tasks that succeeded are named. Rows are dealt by ranges of (id, text hash), so repeated ids
     spread as well. Null texts count as empty (just the end id); null ids come first; an empty table
     writes no file; other columns are not read. ``folder`` must be reachable by all executors.
-    ``cache_pieces`` bounds what a Python worker remembers, about 200 bytes a piece, twice.
-    It outlives the task unless ``keep_cache`` is false: then every task reads the vocabulary anew, and
-    workers that serve other stages as well start those without it.
+    ``cache_pieces`` bounds what a Python worker remembers, about 200 bytes a piece, twice, and what a
+    batch adds. Unless ``keep_cache`` is true it is dropped with the task, as workers serve other
+    tasks and stages too; the vocabulary stays.
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -301,9 +309,8 @@ def write_tokens(
                 yield pa.RecordBatch.from_pydict(row)
         finally:
             gc.enable()
-            if not keep_cache:
-                encoder = writer = None  # noqa: F841
-                Encoder.forget()
+            if encoder is not None and not keep_cache:
+                encoder.forget()
 
     manifest = cut_lineage(rows.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
     # one row per file: as many rows as the exchange has partitions

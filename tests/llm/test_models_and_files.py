@@ -146,6 +146,22 @@ def test_token_files(spark):
     assert token_store.read_tokens(empty, folder).count() == 0
 
 
+def test_encoder_forgets_pieces_and_keeps_its_vocabulary():
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = token_store.Encoder.of(vocabulary, 1000)
+    text = "a word " + "x" * 5_000 + " " + "y" * 5_000 + ". and " + "3$" * 5_000
+    (first,) = encoder.encode([text])
+    assert first[:-4] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(map(len, [*encoder.known, *encoder.bare])) <= 256  # what is remembered is bounded in bytes
+    tokenizer = encoder.tokenizer
+    encoder.forget()
+    assert not encoder.known and not encoder.older and not encoder.bare
+    assert token_store.Encoder.of(vocabulary, 1000).tokenizer is tokenizer
+    assert encoder.encode([text]) == [first]
+
+
 def test_frames_are_independent_and_checked():
     import io
 
