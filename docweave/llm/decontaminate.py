@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.session import bounded
+from docweave.session import bounded, cut_lineage
 
 WINDOW = 5
 LEAST_LITERALS = 3
@@ -207,7 +207,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     """
     found = leaks(docs, benchmark, id_col, text_col, **options)
     listed = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.transform(F.collect_set(F.struct("item_id")), lambda i: i["item_id"])).alias("items"))
-    listed = listed.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text"), "items")
+    # worked out once: counting it for the broadcast would search all texts, and the join again
+    listed = cut_lineage(listed.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text"), "items"))
     keyed = docs.withColumn("__hash", F.xxhash64(text_col))
     joined = keyed.join(bounded(listed), keyed[id_col].eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__text")), "left")
     return joined.select(*[keyed[c] for c in docs.columns], F.coalesce("items", F.array().cast(listed.schema["items"].dataType)).alias("items"))

@@ -167,3 +167,54 @@ def test_nearer_text_hides_no_link(spark):
     merges = [len(named) - len(set(named.values())) for named in (exact, found)]
     assert merges[1] >= 0.97 * merges[0]
     assert all(exact[node] == exact[root] for node, root in found.items())
+
+
+def test_search_between_groups_grows_with_texts(spark):
+    """A family of texts that are near but not similar: rows for its members, not for its pairs, whatever the blocks."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for _ in range(300):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(words))
+    nodes = spark.createDataFrame(list(enumerate(rows)), "node long, text string")
+    marked = near_index.fingerprints(nodes).localCheckpoint()
+    none = spark.createDataFrame([], "node long, root long")
+    sets = [shingle_set(t) for t in rows]
+    similar = {(b, a) for b in range(300) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    want, groups = components_of(300, similar), []
+    for shingles in (near_index.BLOCK_SHINGLES, 5000):
+        kept, near_index.BLOCK_SHINGLES = near_index.BLOCK_SHINGLES, shingles
+        try:
+            met = near_index._meetings(marked, none).localCheckpoint()
+            found = {(r["a"], r["b"]) for r in near_index._hidden(marked, none, nodes).collect()}
+        finally:
+            near_index.BLOCK_SHINGLES = kept
+        per_cell = met.groupBy("cell", "node").count().agg(F.max("count")).first()[0]
+        blocks = -(-sum(map(len, sets)) // shingles) + 1
+        assert per_cell <= blocks and met.count() <= blocks * near_index.tables_for(300)[1] * 300
+        assert found <= similar
+        groups.append(components_of(300, found))
+    assert groups[0] == groups[1] and len(similar) > 300 and len(set(want)) > 1
+    assert 300 - len(set(groups[0])) >= 0.95 * (300 - len(set(want)))
+
+
+def components_of(n, links):
+    root = list(range(n))
+    for b, a in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if r == old else r for r in root]
+    return root
+
+
+def test_leaks_are_searched_once(spark):
+    """What is broadcast is worked out before it is counted: no search of the texts is left in the plan."""
+    docs = spark.createDataFrame([(0, f"so {ITEM}"), (1, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for as_sql in (False, True):
+        rows = decontaminate.marked(docs, items, as_sql=as_sql)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Aggregate" not in plan
+        assert {r["doc_id"]: r["items"] for r in rows.collect()} == {0: [1], 1: []}
