@@ -114,6 +114,21 @@ def test_passes_without_rows(spark, data):
     assert S.nearest(wrong, corpus, 4, "cosine", DIM, broadcast_bytes=0).isEmpty()
 
 
+def test_passes_work_an_unsaved_corpus_out_once(spark, data, monkeypatch):
+    monkeypatch.setattr(S, "ASK_BLOCK_ROWS", 10)
+    questions, corpus = frames(spark, data)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    unsaved = corpus.mapInArrow(counted, corpus.schema)
+    found = S.nearest(questions, unsaved, 4, "cosine", DIM, broadcast_bytes=0).count()
+    assert found == 4 * len(data[0]) and seen.value == len(data[1])
+
+
 def test_unsaved_corpus_is_embedded_once(spark):
     chunks = S.embed_chunks(spark.createDataFrame([("c", "some text")], "chunk_id string, content string"))
     asked = S.embed_questions(spark.createDataFrame([("q", "text")], "question_id string, question string"))
