@@ -169,6 +169,29 @@ def test_nearer_text_hides_no_link(spark):
     assert all(exact[node] == exact[root] for node, root in found.items())
 
 
+def test_crowded_cells_leave_no_pair_out(spark, monkeypatch):
+    """A cell cut into parts gives at least the links of the whole cell."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(60):
+            words = list(base)
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+    nodes = spark.createDataFrame(list(enumerate(rows)), "node long, text string")
+    marked = near_index.fingerprints(nodes).localCheckpoint()
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = lambda: {(r["a"], r["b"]): r["apart"] for r in near_index.candidates(marked).collect()}
+    rows_of = lambda: {(r["cell"], r["node"]) for r in near_index._meetings(marked, none).collect()}
+    monkeypatch.setattr(near_index, "tables_for", lambda texts: (8, 2))
+    whole, met = pairs(), rows_of()
+    monkeypatch.setattr(near_index, "MOST", 8)
+    cut = pairs()
+    assert len(whole) > 100 and all(cut.get(ends) == apart for ends, apart in whole.items())
+    assert rows_of() == met
+
+
 def test_search_between_groups_grows_with_texts(spark):
     """A family of texts that are near but not similar: rows for its members, not for its pairs, whatever the blocks."""
     rng = random.Random(2)
